@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, lines, mixing, packing, quality, substrings, urls
+from . import chat, exact, katz, lines, mixing, packing, quality, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -139,6 +139,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source"""
 
 
+@query
+def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(spark, table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(spark, table(spark, sf_dir, "documents"))
