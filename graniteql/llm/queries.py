@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, katz, lines, mixing, packing, quality, substrings, urls
+from . import chat, exact, katz, lines, minhash, mixing, packing, quality, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -39,6 +39,11 @@ SELECT page_id, host, path,
 FROM parts"""
 
 
+@query
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark, table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 @query
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.exact_dedup(spark, table(spark, sf_dir, "documents"))
