@@ -604,7 +604,7 @@ class Session:
                 rows = read_parquet(self.spark, c.location)
             else:
                 columns = [(x["name"], x["type"]) for x in tables.table(c.path)["columns"]]
-                rows = read_csv(self.spark, c.location, columns, **{k: v for k, v in options.items() if k != "encoding"})
+                rows = read_csv(self.spark, c.location, columns, positional=True, **{k: v for k, v in options.items() if k != "encoding"})
             return self._returned(tables.insert(c.path, rows), None, "")
 
         return self._change(load)

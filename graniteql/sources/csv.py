@@ -125,7 +125,9 @@ def sniff(spark: SparkSession, file: File, options: CsvOptions) -> tuple[list[tu
 
 
 def read_csv(spark: SparkSession, location: str, schema: list[tuple[str, str]] | None = None, **given: object) -> DataFrame:
-    """Rows that are short, long or not of their column's type fail the query; so do files whose schemas differ."""
+    """Rows that are short, long or not of their column's type fail the query; so do files whose schemas differ, or
+    whose header isn't the given schema's. positional: a given schema's names replace the files'."""
+    positional = bool(given.pop("positional", False))
     options = CsvOptions(**given)  # type: ignore[arg-type]
     files = list_files(spark, location)
     found = [sniff(spark, f, options) for f in files]
@@ -133,7 +135,12 @@ def read_csv(spark: SparkSession, location: str, schema: list[tuple[str, str]] |
         if any(x[0] != found[0][0] for x in found):
             raise SourceError("the files' schemas differ")
         schema = found[0][0]
-    _, header, kind = found[0]
+    own, header, kind = found[0]
+    if any(len(x[0]) != len(schema) for x in found):
+        raise SourceError(f"the files have {len(own)} columns, not {len(schema)}")
+    names = [n for n, _ in schema]
+    if header and positional:
+        schema = [(n, t) for (n, _), (_, t) in zip(own, schema, strict=True)]
     if any(x[1:] != found[0][1:] for x in found):
         raise SourceError("files with and without header, or of several compressions, can't be read together")
     reader = (
@@ -154,9 +161,9 @@ def read_csv(spark: SparkSession, location: str, schema: list[tuple[str, str]] |
         reader = reader.option("multiLine", True)
     named = {"gzip": ".gz", "zstd": ".zst"}.get(kind, "")
     if any(f.path.endswith((".gz", ".zst")) != bool(named) or not f.path.endswith(named) for f in files):
-        return _by_content(spark, files, kind, reader, schema)
+        return _by_content(spark, files, kind, reader, schema).toDF(*names)
     paths = [f.path for f in files] if any(c in location for c in "*?[{") else [check_location(location)]
-    return reader.csv(paths)
+    return reader.csv(paths).toDF(*names)
 
 
 def _by_content(spark: SparkSession, files: list[File], kind: str, reader, schema: list[tuple[str, str]]) -> DataFrame:

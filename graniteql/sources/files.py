@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -33,6 +36,27 @@ def check_location(location: str) -> str:
     return re.sub(r"^s3://", "s3a://", location)
 
 
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new folder for files of this run: below spark.checkpoint.dir, which all executors share. Only where that is
+    unset and everything runs in this process, a temporary folder does."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise SourceError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="graniteql-")
+    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    atexit.register(_quietly, spark, path)
+    return path
+
+
+def _quietly(spark: SparkSession, path: str) -> None:
+    try:
+        remove(spark, path)
+    except Exception:  # noqa: BLE001 - the session may be gone at exit; only a leftover remains
+        pass
+
+
 def list_files(spark: SparkSession, location: str, suffixes: tuple[str, ...] = ()) -> list[File]:
     """The data files of a file, folder or glob, in order of path; hidden ones are left out."""
     fs, path = _path(spark, check_location(location))
