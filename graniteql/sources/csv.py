@@ -82,8 +82,9 @@ def _column(values: list[str]) -> str:
     return kinds.pop() if len(kinds) == 1 else "string"
 
 
-def sniff(spark: SparkSession, file: File, options: CsvOptions) -> tuple[list[tuple[str, str]], bool, str]:
-    """Columns, whether there is a header, and the compression, from a bounded sample of one file.
+def sniff(spark: SparkSession, file: File, options: CsvOptions) -> tuple[list[tuple[str, str]], bool, str, bool]:
+    """Columns, whether there is a header, the compression, and whether values hold line ends, from a bounded sample
+    of one file. (If only values beyond the sample do, reading fails; it doesn't go wrong.)
 
     Without being told, the first row is a header if it is all text over columns that aren't, or else if its cells
     are distinct identifiers and none occurs again below.
@@ -121,7 +122,7 @@ def sniff(spark: SparkSession, file: File, options: CsvOptions) -> tuple[list[tu
         raise SourceError(f"{file.path} has empty or repeated column names")
     data = rest if header else rows
     names = first if header else [f"column{i}" for i in range(len(first))]
-    return [(n, _column([r[i] for r in data])) for i, n in enumerate(names)], header, kind
+    return [(n, _column([r[i] for r in data])) for i, n in enumerate(names)], header, kind, any("\n" in c for r in rows for c in r)
 
 
 def read_csv(spark: SparkSession, location: str, schema: list[tuple[str, str]] | None = None, **given: object) -> DataFrame:
@@ -135,13 +136,13 @@ def read_csv(spark: SparkSession, location: str, schema: list[tuple[str, str]] |
         if any(x[0] != found[0][0] for x in found):
             raise SourceError("the files' schemas differ")
         schema = found[0][0]
-    own, header, kind = found[0]
+    own, header, kind, _ = found[0]
     if any(len(x[0]) != len(schema) for x in found):
         raise SourceError(f"the files have {len(own)} columns, not {len(schema)}")
     names = [n for n, _ in schema]
     if header and positional:
         schema = [(n, t) for (n, _), (_, t) in zip(own, schema, strict=True)]
-    if any(x[1:] != found[0][1:] for x in found):
+    if any(x[1:3] != found[0][1:3] for x in found):
         raise SourceError("files with and without header, or of several compressions, can't be read together")
     reader = (
         spark.read.schema(", ".join(f"`{n}` {t}" for n, t in schema))
@@ -156,9 +157,8 @@ def read_csv(spark: SparkSession, location: str, schema: list[tuple[str, str]] |
         .option("emptyValue", "")
         .option("timestampNTZFormat", "yyyy-MM-dd[ ]['T']HH:mm:ss[.SSSSSS]")
     )
-    sample = _plain(head(spark, files[0].path, _SAMPLE_BYTES), kind)
-    if re.search(re.escape(options.quote).encode() + rb"[^\n]*\n[^" + re.escape(options.quote).encode() + rb"]*" + re.escape(options.quote).encode(), sample) and b'"\n' not in sample.replace(b'\n"', b""):
-        reader = reader.option("multiLine", True)
+    if any(x[3] for x in found):
+        reader = reader.option("multiLine", True)  # such files can't be split
     named = {"gzip": ".gz", "zstd": ".zst"}.get(kind, "")
     if any(f.path.endswith((".gz", ".zst")) != bool(named) or not f.path.endswith(named) for f in files):
         return _by_content(spark, files, kind, reader, schema).toDF(*names)
