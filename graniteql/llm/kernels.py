@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 CHUNK_BYTES = 2 << 20
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ from .scratch import Scratch, empty_as, partitions, with_ids
 
 _BITS = 22
 _PIECES = 1024
-_DRAWS = 1 << 16
+_DRAWS = 1 << 17
 _ROUNDS = (0, 8, 64, 512, None)
 _LARGE = 512
 _FEW = 20_000
@@ -114,39 +114,51 @@ def weights(value: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray
     return (1 + np.log(count.astype(np.float32))) * idf[_slot(value)]
 
 
-def _draws() -> tuple[np.ndarray, ...]:
-    """Tables of draws: r ~ Gamma(2, 1), its inverse, log c with c ~ Gamma(2, 1), and beta ~ U(0, 1)."""
-    u = ((K.stream(101, 5 * _DRAWS) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
-    u = u.reshape(5, _DRAWS)
-    r = -np.log(u[0] * u[1])
-    return r.astype(np.float32), (1 / r).astype(np.float32), np.log(-np.log(u[2] * u[3])).astype(np.float32), u[4].astype(np.float32)
+_TABLES: list[np.ndarray] = []
+
+
+def _draws() -> list[np.ndarray]:
+    """A pool of draws: r ~ Gamma(2, 1), its inverse, log c - r with c ~ Gamma(2, 1), and beta ~ U(0, 1)."""
+    if not _TABLES:
+        u = ((K.stream(101, 5 * _DRAWS) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+        u = u.reshape(5, _DRAWS)
+        r = -np.log(u[0] * u[1])
+        _TABLES.extend(x.astype(np.float32) for x in (r, 1 / r, np.log(-np.log(u[2] * u[3])) - r, u[4]))
+    return _TABLES
 
 
 def signatures(own: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int, k: int) -> np.ndarray:
     """n rows of k samples by improved consistent weighted sampling; rows without shingles are zero.
 
     For each sample, an element of weight S has t = floor(ln S / r + beta) and a = ln c - r (t - beta + 1); the
-    element of least a is taken together with its t. r, c and beta are drawn from tables by the element's hash.
+    element of least a is taken together with its t. The element's hash says which r, c and beta it draws.
     """
     out = np.zeros((n, k), np.uint32)
     if not len(own):
         return out
     r, inverse, log_c, beta = _draws()
     first = np.flatnonzero(np.diff(own, prepend=-1))
+    rows = own[first]
     log_w = np.log(weight)
-    place = np.arange(len(own), dtype=np.uint64)
+    place = np.arange(len(own), dtype=np.int64)
+    shift = np.uint64(64 - _DRAWS.bit_length() + 1)
     for j, salt in enumerate(K.stream(202, k)):
-        g = value * (salt | np.uint64(1))
-        g ^= g >> np.uint64(31)
-        g *= np.uint64(0x9E3779B97F4A7C15)
-        i, b = (g >> np.uint64(48)).astype(np.intp), beta[(g >> np.uint64(16)).astype(np.intp) & 0xFFFF]
-        t = np.floor(log_w * inverse[i] + b)
-        a = log_c[(g >> np.uint64(32)).astype(np.intp) & 0xFFFF] - r[i] * (t - b + np.float32(1))
-        bits = a.view(np.uint32)  # as unsigned integers in the same order
-        bits = np.where(bits >> 31, ~bits, bits | np.uint32(0x80000000)).astype(np.uint64)
-        least = np.minimum.reduceat((bits << np.uint64(32)) | place, first) & np.uint64(0xFFFFFFFF)
-        at = least.astype(np.intp)
-        out[own[first], j] = K.mix(value[at] + t[at].astype(np.int64).view(np.uint64) * np.uint64(0xD1342543DE82EF95)).astype(np.uint32)
+        i = ((value * (salt | np.uint64(1))) >> shift).view(np.int64)
+        b = beta.take(i)
+        t = inverse.take(i)
+        t *= log_w
+        t += b
+        np.floor(t, out=t)
+        b -= t
+        b *= r.take(i)
+        b += log_c.take(i)
+        bits = b.view(np.int32)  # as signed integers in the same order
+        bits ^= (bits >> 31) & np.int32(0x7FFFFFFF)
+        least = bits.astype(np.int64)
+        least <<= 32
+        least |= place
+        at = np.minimum.reduceat(least, first) & 0xFFFFFFFF
+        out[rows, j] = K.mix(value[at] + t[at].astype(np.int64).view(np.uint64) * np.uint64(0xD1342543DE82EF95)).astype(np.uint32)
     return out
 
 
