@@ -14,6 +14,8 @@ SUITE.sql("shape_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM
 SUITE.sql("shape_cte", "WITH a AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY c_nationkey), b(k, n) AS (SELECT k, n * 2 FROM a WHERE n > 1) SELECT a.k, a.n, b.n AS m FROM a LEFT JOIN b ON a.k = b.k")
 SUITE.sql("shape_derived", "SELECT t.k, t.total FROM (SELECT o_custkey, round(sum(o_totalprice), 2) FROM orders GROUP BY o_custkey) AS t(k, total) WHERE t.total > 100000")
 SUITE.sql("shape_values", "SELECT column1, column2, column1 * 2 AS twice FROM (VALUES (1, 'a'), (2, NULL), (3, 'c')) v", "SELECT column1, column2, column1 * 2 AS twice FROM (VALUES (1, 'a'), (2, NULL), (3, 'c')) v(column1, column2)")
+SUITE.sql("shape_nested_cte", "WITH a AS (WITH b AS (SELECT r_regionkey AS k, r_name AS v FROM region) SELECT k + 1 AS k, v FROM b) SELECT k, v FROM a WHERE k > 2")
+SUITE.sql("shape_having_no_group", "SELECT count(*) AS n, max(c_acctbal) AS m FROM customer HAVING count(*) > 10")
 SUITE.sql("shape_no_from", "SELECT 1 + 1 AS two, upper('x') AS x")
 SUITE.sql("shape_ordinals_aliases", "SELECT c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY 1 HAVING n > 1 ORDER BY 2 DESC, seg")
 SUITE.sql("shape_hidden_order", "SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25")
@@ -67,6 +69,8 @@ _INNER = "(VALUES ('match', 10), ('miss', 10), ('rhs_null', 10), ('rhs_null', NU
 SUITE.sql("sub_in_value", f"SELECT case_id, probe IN (SELECT k FROM {_INNER}) AS a, probe NOT IN (SELECT k FROM {_INNER}) AS b, probe IN (SELECT k FROM {_INNER} WHERE k < 0) AS c, (probe IN (SELECT k FROM {_INNER} WHERE k IS NOT NULL)) IS NULL AS d FROM {_MATRIX}")
 SUITE.sql("sub_in_value_correlated", f"SELECT case_id, probe IN (SELECT k FROM {_INNER} WHERE i.grp = o.grp) AS a, CASE WHEN probe NOT IN (SELECT k FROM {_INNER} WHERE i.grp = o.grp) THEN 'out' ELSE 'in or null' END AS b FROM {_MATRIX}")
 SUITE.sql("sub_in_or", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < -900) OR o_totalprice > 450000")
+SUITE.sql("sub_in_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) IN (SELECT r_regionkey + 3 FROM region)")
+SUITE.sql("sub_nested", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')) AND c_acctbal > (SELECT avg(c_acctbal) FROM customer)")
 SUITE.sql("sub_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > (SELECT 1.5 * avg(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey) t)")
 
 # --- windows

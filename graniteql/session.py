@@ -143,7 +143,7 @@ class Engine:
         return self.session().execute(text, params)
 
     def register(self, name: str, df: DataFrame) -> None:
-        """A DataFrame under a name. Its plan moves to this engine's settings."""
+        """A DataFrame under a name, of whatever session."""
         self.registered[name.lower()] = df
 
     def register_parquet(self, name: str, location: str, **options: Any) -> None:
@@ -293,14 +293,18 @@ class Session:
                 if found is None:
                     return None
                 local[key] = self._view(found)
-            return ident(local[key])
+            return local[key]
 
         return Emitter(analyze, function, table, [literal(p) for p in params or []])
 
     def _view(self, df: DataFrame) -> str:
+        """A view of this session; of a DataFrame of another session, one that all sessions see."""
         name = f"__v{uuid.uuid4().hex}"
-        df.createOrReplaceTempView(name)
-        return name
+        if df.sparkSession is self.spark:
+            df.createOrReplaceTempView(name)
+            return ident(name)
+        df.createOrReplaceGlobalTempView(name)
+        return f"global_temp.{ident(name)}"
 
     def _resolve(self, path: list[str], tables: Tables | None, params: list | None, seen: tuple[str, ...]) -> DataFrame | None:
         if path[0].lower() == "information_schema" and len(path) == 2:
@@ -519,7 +523,7 @@ class Session:
             return self._message(rows=rows.count())
         view = self._view(rows)
         emitter = self._emitter()
-        scope = Scope([], f"{ident(view)} AS {ident(name)}", None)
+        scope = Scope([], f"{view} AS {ident(name)}", None)
         return self.spark.sql(f"SELECT {', '.join(emitter.item(i, scope) for i in returning)} FROM {scope.source}")
 
     def _do_insert(self, c, params) -> DataFrame:
@@ -534,7 +538,7 @@ class Session:
         emitter = self._emitter(params, tables)
         target = self._view(tables.scan(c.target.path, True))
         alias = c.target.alias or c.target.path[-1]
-        source = f"{ident(target)} AS {ident(alias)}"
+        source = f"{target} AS {ident(alias)}"
         if c.source is not None:
             source += f", {emitter.ref(c.source, [], None)}"
         scope = Scope([], source, None)

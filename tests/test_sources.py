@@ -134,3 +134,10 @@ def test_registered(engine, tmp_path):
     with pytest.raises(SourceError):
         engine.register_csv("REG", f"file://{tmp_path}/r*.csv")
     assert engine.execute("DESCRIBE reg").fetchall() == [("id", "bigint"), ("t", "string")]
+
+
+def test_registered_dataframes(engine, spark):
+    engine.register("own", engine.spark.range(3))
+    engine.register("other", spark.range(2, 6))
+    assert engine.execute("SELECT count(*) FROM own JOIN other ON own.id = other.id").fetchall() == [(1,)]
+    assert engine.execute("SELECT o.id FROM other AS o ORDER BY o.id LIMIT 1").fetchall() == [(2,)]
