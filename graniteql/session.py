@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions.scalar import quote
 from .sources.csv import read_csv, sniff, CsvOptions
-from .sources.files import SourceError, list_files
+from .sources.files import File, SourceError, list_files
 from .sources.parquet import read_parquet
 from .sources.sinks import copy_to, render
 from .sql import commands
@@ -53,8 +53,8 @@ def tuned(spark: SparkSession) -> SparkSession:
 class Result:
     """Rows of a statement: lazy, pulled in batches, and cancellable."""
 
-    def __init__(self, df: DataFrame, query_id: str | None = None):
-        self.df, self.query_id = df, query_id or uuid.uuid4().hex
+    def __init__(self, df: DataFrame, query_id: str | None = None, files: dict[str, list[File]] | None = None):
+        self.df, self.query_id, self.files = df, query_id or uuid.uuid4().hex, files or {}
         self.started = self.seconds = self.rows = None
 
     @property
@@ -69,6 +69,18 @@ class Result:
             self.rows += 1
             yield row
         self.seconds = time.time() - t
+        self._check_files()
+
+    def _check_files(self) -> None:
+        """The files that the statement was planned over must still be those (by path, size and time)."""
+        for location, before in self.files.items():
+            try:
+                now = list_files(self.df.sparkSession, location)
+            except SourceError:
+                now = []
+            known = {f.path: f for f in now}
+            if any(known.get(f.path) != f for f in before):
+                raise SourceError(f"files at {location} changed while the query ran")
 
     def fetchall(self) -> list[tuple]:
         return [tuple(r) for r in self]
@@ -250,7 +262,7 @@ class Session:
         self.engine, self.spark = engine, engine.spark
         self.views: dict[str, str] = {}
         self.transaction: Transaction | None = None
-        self.scans: dict[str, str] = {}
+        self.files: dict[str, list[File]] = {}
 
     # --- translation
 
@@ -321,11 +333,13 @@ class Session:
                     raise SqlError(f"view {'.'.join(path)} refers to itself")
                 return self._run_view(tables.state["views"][key], tables, (*seen, key))
             if key in tables.state["externals"]:
-                return External(**tables.state["externals"][key]).read(self.spark)
+                return self._external(External(**tables.state["externals"][key]))
         found = self.engine.registered.get(name) if name else None
-        if isinstance(found, External):
-            return found.read(self.spark)
-        return found
+        return self._external(found) if isinstance(found, External) else found
+
+    def _external(self, source: External) -> DataFrame:
+        self.files[source.location] = list_files(self.spark, source.location)
+        return source.read(self.spark)
 
     def _run_view(self, text: str, tables: Tables | None, seen: tuple[str, ...]) -> DataFrame:
         return self.spark.sql(self._emitter(None, tables, seen).query(parse_query(text)))
@@ -351,6 +365,7 @@ class Session:
         spec = f"{name}|{where}|{sorted(options.items())}"
         if spec not in local:
             reader = read_csv if name == "read_csv" else read_parquet
+            self.files[where] = list_files(self.spark, where)
             local[spec] = self._view(reader(self.spark, where, **options))
         return local[spec]
 
@@ -368,7 +383,9 @@ class Session:
 
     def execute(self, text: str, params: list | None = None) -> Result:
         c = commands.parse(text)
-        return Result(self._command(c, params))
+        self.files = {}
+        df = self._command(c, params)
+        return Result(df, files=self.files if c.name == "query" else None)
 
     def script(self, text: str) -> list[Result]:
         return [self.execute(s) for s in commands.split(text)]

@@ -141,3 +141,11 @@ def test_registered_dataframes(engine, spark):
     engine.register("other", spark.range(2, 6))
     assert engine.execute("SELECT count(*) FROM own JOIN other ON own.id = other.id").fetchall() == [(1,)]
     assert engine.execute("SELECT o.id FROM other AS o ORDER BY o.id LIMIT 1").fetchall() == [(2,)]
+
+
+def test_files_must_not_change_under_a_query(engine, tmp_path):
+    where = put(tmp_path / "s.csv", "id,t\n1,a\n")
+    result = engine.execute(f"SELECT * FROM read_csv('{where}')")
+    put(tmp_path / "s.csv", "id,t\n1,a\n2,b\n3,c\n")
+    with pytest.raises(SourceError):
+        result.fetchall()
