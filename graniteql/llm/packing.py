@@ -20,7 +20,7 @@ from . import kernels as K
 from .scratch import Scratch, small
 
 _MARK = "\x01"
-_CACHED = 1 << 20
+_CACHED = 3 << 18
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -46,7 +46,7 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-        self.keys, self.begin, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint16)
+        self.keys, self.begin, self.ids, self.again = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint16), np.zeros(0, bool)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             self.ids = self.ids.astype(np.uint32)
 
@@ -56,31 +56,37 @@ class WordTokenizer:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def encode(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word."""
-        out: list = [None] * len(words)
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order in which the words were done, the number of ids of each in that order, and all ids."""
         easy = [i for i, w in enumerate(words) if _MARK not in w] if self.mark is not None else []
-        groups = [easy[i : i + 1000] for i in range(0, len(easy), 1000)]
-        joined = [f" {_MARK} ".join(words[i] for i in g) for g in groups]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, self.ids.dtype)
-            cuts = np.flatnonzero(ids == self.mark)
-            for i, s, e in zip(group, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
-                out[i] = ids[s:e]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, found in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(found.ids, self.ids.dtype)
-        return out
+        hard = [i for i, w in enumerate(words) if _MARK in w] if self.mark is not None else range(len(words))
+        sizes, ids = [], []
+        for at in range(0, len(easy), 10_000):  # a text of a thousand words each, ten at a time
+            part = easy[at : at + 10_000]
+            joined = [f" {_MARK} ".join(words[i] for i in part[j : j + 1000]) for j in range(0, len(part), 1000)]
+            for found in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
+                line = np.array(found.ids, self.ids.dtype)
+                cuts = line == self.mark
+                at_cuts = np.flatnonzero(cuts)
+                sizes.append(np.diff(at_cuts, prepend=-1, append=len(line)) - 1)
+                ids.append(line[~cuts])
+        for i in hard:
+            line = np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, self.ids.dtype)
+            sizes.append(np.array([len(line)]))
+            ids.append(line)
+        order = np.array([*easy, *hard], np.int64)
+        return order, np.concatenate([*sizes, np.zeros(0, np.int64)]), np.concatenate([*ids, self.ids[:0]])
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        found = self.encode(words)
-        sizes = np.array([len(x) for x in found], np.int64)
-        flat = np.concatenate([self.ids, *found])
+        order, sizes, ids = self.encode(words)
         begin = np.concatenate([self.begin[:-1], self.begin[-1] + np.cumsum(sizes) - sizes])
         size = np.concatenate([np.diff(self.begin), sizes])
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys)
-        self.keys, size = keys[order], size[order]
+        keys = np.concatenate([self.keys, keys[order]])
+        again = np.concatenate([self.again, np.zeros(len(order), bool)])
+        self._keep(np.argsort(keys), keys, begin, size, np.concatenate([self.ids, ids]), again)
+
+    def _keep(self, order: np.ndarray, keys: np.ndarray, begin: np.ndarray, size: np.ndarray, flat: np.ndarray, again: np.ndarray) -> None:
+        self.keys, self.again, size = keys[order], again[order], size[order]
         self.ids = flat[ragged(begin[order], size)]
         self.begin = np.concatenate([[0], np.cumsum(size)])
 
@@ -88,10 +94,11 @@ class WordTokenizer:
         """Ids of all the texts in a row, each with ``end`` after it, and where each text begins."""
         text.split_words()
         keys, where, inverse = np.unique(text.word_hash(), return_index=True, return_inverse=True)
-        if len(self.keys) > _CACHED:
-            self.keys, self.begin, self.ids = self.keys[:0], self.begin[:1], self.ids[:0]
+        if len(self.keys) > _CACHED:  # words that came again stay
+            self._keep(np.flatnonzero(self.again), self.keys, self.begin[:-1], np.diff(self.begin), self.ids, np.zeros_like(self.again))
         spot = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         new = self.keys[spot] != keys if len(self.keys) else np.ones(len(keys), bool)
+        self.again[spot[~new]] = True
         if new.any():
             at = where[new]
             data = text.data.tobytes()
@@ -118,7 +125,7 @@ def tokenised(docs: DataFrame, path: str, end: int, id_col: str = "doc_id") -> D
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, part, at = WordTokenizer.open(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for a, b, text in K.Text.of(batch.column(1), 4 * K.CHUNK_BYTES):
+            for a, b, text in K.Text.of(batch.column(1), 2 * K.CHUNK_BYTES):
                 ids, bounds = tokenizer.tokens(text, end)
                 width = ids.dtype.itemsize
                 offsets = pa.py_buffer((bounds * width).astype(np.int64).tobytes())
