@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .scratch import Scratch, partitions, with_ids
+from .scratch import Scratch, partitions, with_ids, without
 
 _SPACE = b" \t\n\v\f\r"
 _FLUSH = 100_000
@@ -228,7 +228,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id") -> Da
     others = [c for c in docs.columns if c not in (id_col, "text")]
     held = docs.select(F.col(id_col), F.col("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("others") if others else F.lit(None).cast("string").alias("others"))
     rows = with_ids(spark, held, id_col, ["text", "others"], scratch)
-    found = exact_dedup(spark, rows.drop("doc_id"), "rid", scratch).filter("kept").select(F.col("doc_id").alias("rid"))
-    out = rows.join(found, "rid", "left_semi")
+    gone = exact_dedup(spark, rows.drop("doc_id"), "rid", scratch).filter("not kept").select(F.col("doc_id").alias("rid"))
+    out = without(rows, scratch.write(gone, "gone"))
     back = {id_col: F.col("doc_id"), "text": F.col("text")}
     return out.select(*((back[c] if c in back else F.col("others").getField(c)).alias(c) for c in docs.columns))

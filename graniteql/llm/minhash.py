@@ -24,14 +24,13 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .scratch import Scratch, partitions, with_ids
+from .scratch import Scratch, likely_rows, partitions, with_ids, without
 
 _BITS = 22
 _PIECES = 1024
 _DRAWS = 1 << 17
 _ROUNDS = (0, 8, None)
 _LARGE = 512
-_SLOT_BITS = 26
 
 
 @dataclass(frozen=True)
@@ -181,25 +180,6 @@ def _sign(rows: DataFrame, idf, s: Settings) -> DataFrame:
     return rows.select("rid", "text").mapInArrow(step, "rid long, f1 long, f2 long, size long, sig binary")
 
 
-def _wanted(spark: SparkSession, rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """(rid, text) of the rows asked for, and few others: a bitmap of 2**26 hash slots says which texts need not
-    move. Its size is fixed; were it full, all texts would move, and nothing else would change."""
-    slot = F.pmod(F.xxhash64("rid"), F.lit(1 << _SLOT_BITS))
-    masks = asked.select(slot.alias("slot")).groupBy((F.col("slot") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("mask"))
-    found = masks.toArrow()  # 2**20 rows at most
-    table = np.zeros(1 << (_SLOT_BITS - 6), np.int64)
-    table[found.column("word").to_numpy()] = found.column("mask").to_numpy()
-    bits = spark.sparkContext.broadcast(table)
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(2).to_numpy()
-            keep = (bits.value[at >> 6] >> (at & 63)) & 1
-            yield batch.select(["rid", "text"]).filter(pa.array(keep.astype(bool)))
-
-    return rows.select("rid", "text", slot.alias("slot")).mapInArrow(step, "rid long, text string")
-
-
 def verify(spark: SparkSession, rows: DataFrame, pairs: DataFrame, idf, s: Settings, scratch: Scratch, name: str, per_task: int = 512) -> DataFrame:
     """(a, b) -> (a, b, sim), the exact weighted Jaccard similarity. Texts travel to b, at most ``per_task`` members
     with one copy of b's text; a frequent b is split over as many tasks as it needs. The requests for texts are
@@ -208,7 +188,7 @@ def verify(spark: SparkSession, rows: DataFrame, pairs: DataFrame, idf, s: Setti
     members = pairs.join(groups, "b").select(F.col("a").alias("rid"), "b", F.pmod(F.xxhash64("a"), F.col("ways")).cast("int").alias("way"), F.lit(1).alias("kind"))
     heads = groups.select(F.col("b").alias("rid"), "b", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"), F.lit(0).alias("kind"))
     asked = scratch.write(members.unionByName(heads), name)
-    sent = _wanted(spark, rows, asked).join(asked, "rid")
+    sent = likely_rows(rows.select("rid", "text"), asked).join(asked, "rid")
     sorted_rows = sent.repartition(partitions(spark), "b", "way").sortWithinPartitions("b", "way", "kind", "rid").select("rid", "text", "b", "way", "kind")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,6 +361,6 @@ def keep_representatives(spark: SparkSession, docs: DataFrame, s: Settings = Set
     others = [c for c in docs.columns if c not in (id_col, "text")]
     packed = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(None).cast("string")
     rows = with_ids(spark, docs.select(F.col(id_col), F.col("text"), packed.alias("others")), id_col, ["text", "others"], scratch)
-    found = near_duplicates(spark, rows.drop("doc_id"), s, "rid").filter("rid = class_rid").select("rid")
+    gone = scratch.write(near_duplicates(spark, rows.drop("doc_id"), s, "rid").filter("rid <> class_rid").select("rid"), "gone")
     back = {id_col: F.col("doc_id"), "text": F.col("text")}
-    return rows.join(found, "rid", "left_semi").select(*((back[c] if c in back else F.col("others").getField(c)).alias(c) for c in docs.columns))
+    return without(rows, gone).select(*((back[c] if c in back else F.col("others").getField(c)).alias(c) for c in docs.columns))

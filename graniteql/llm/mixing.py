@@ -94,6 +94,7 @@ def mixed(spark: SparkSession, docs: DataFrame, source: str = "source", id_col:
     rows = with_ids(spark, held, id_col, ["source", "text", "others"], scratch)
     copies = mix_sources(spark, rows.drop("doc_id"), source="source", id_col="rid", scratch=scratch, **options)
     copies = scratch.write(copies.filter("copies > 0").select(F.col("doc_id").alias("rid"), F.col("copies").cast("int").alias("copies")), "copies")
-    out = rows.join(copies, "rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    # nearly all documents are taken, so texts move at every size; no broadcast that only small inputs would get
+    out = rows.join(copies.hint("merge"), "rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     back = {id_col: F.col("doc_id"), source: F.col("source"), "text": F.col("text")}
     return out.select(*((back[c] if c in back else F.col("others").getField(c)).alias(c) for c in docs.columns))

@@ -12,7 +12,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _own: dict[str, str] = {}
 
@@ -84,6 +83,33 @@ def number_rows(spark: SparkSession, df: DataFrame, order: list[Column], name: s
     return dealt.join(offsets, "_part").withColumn(name, F.col("_before") + F.col("_seq")).drop("_part", "_seq", "_before")
 
 
+SLOT_BITS = 26
+
+
+def _flagged(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows with ``_hit``: whether the hash slot of their rid is that of one of the ids. The slots travel as a bitmap
+    of 2**26 bits, a table of 2**20 words at most, so its broadcast is bounded whatever the number of ids."""
+    slot = F.pmod(F.xxhash64("rid"), F.lit(1 << SLOT_BITS))
+    word, bit = F.shiftright(slot, 6), F.pmod(slot, F.lit(64)).cast("int")
+    words = ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_mask"))
+    out = rows.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(words), "_word", "left")
+    hit = F.expr("coalesce(shiftright(_mask, _bit) & 1L, 0L) = 1L")
+    return out.withColumn("_hit", hit).drop("_word", "_bit", "_mask")
+
+
+def likely_rows(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose rid is among the ids, and few others, without moving any. A join must follow."""
+    return _flagged(rows, ids).filter("_hit").drop("_hit")
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose rid isn't in ``gone``. Only those in a slot of ``gone`` are moved and joined; were all slots
+    taken, all rows would be, with the same result."""
+    flagged = _flagged(rows, gone)
+    rest = flagged.filter("_hit").drop("_hit").join(gone, "rid", "left_anti")
+    return flagged.filter(~F.col("_hit")).drop("_hit").unionByName(rest)
+
+
 def with_ids(spark: SparkSession, docs: DataFrame, id_col: str, payload: list[str], scratch: Scratch) -> DataFrame:
     """The id, the payload columns and ``rid``, a unique non-null long in the ids' order (nulls last).
 
@@ -97,6 +123,3 @@ def with_ids(spark: SparkSession, docs: DataFrame, id_col: str, payload: list[st
     order = [F.col("doc_id").asc_nulls_last(), *(F.col(c).asc_nulls_first() for c in payload)]
     return number_rows(spark, docs, order, "rid", scratch)
 
-
-def empty_as(schema: str) -> T.StructType:
-    return T._parse_datatype_string(schema)  # type: ignore[return-value]
