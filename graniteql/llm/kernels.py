@@ -7,6 +7,7 @@ positions are safe cut points.  Hashes are 64-bit, seeded by constants only, and
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,24 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers live on from task to task, and what they keep adds up."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC:
+        _LIBC[0].malloc_trim(0)
+
+
+def _libc() -> list:
+    try:
+        found = ctypes.CDLL("libc.so.6")
+        return [found] if hasattr(found, "malloc_trim") else []
+    except OSError:  # another C library; nothing to trim
+        return []
+
+
+_LIBC = _libc()
+
+
 class _Poly:
     """Polynomial hashing modulo 2**64 by prefix sums, with the powers kept."""
 
@@ -107,6 +126,7 @@ class Text:
         data, offsets = utf8(column)
         for a, b in chunks(offsets, most):
             yield a, b, cls(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        release()
 
     def _spans(self, gap: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Maximal runs of bytes outside ``gap`` that don't cross ``bounds``."""

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,10 +37,16 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Written tables of one call. ``drop`` frees those no longer read; the rest go when the process ends."""
+    """Written tables of one call. ``drop`` frees those no longer read; the rest go when the process ends.
+
+    Texts go to Python in batches; where the session hasn't set their size, 8 MB are the most, as several copies of a
+    batch exist at a time and executors may be small.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+            spark.conf.set(_BATCH, str(8 << 20))
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         atexit.register(remove, spark, self.root)
 
