@@ -81,6 +81,10 @@ def read_parquet(spark: SparkSession, location: str, union_by_name: bool | None
         raise SourceError("union_by_name and schema_mode exclude each other")
     mode = schema_mode or ("union" if union_by_name else "strict")
     files = list_files(spark, location, (".parquet",))
+    if mode not in MODES:
+        raise SourceError(f"schema_mode is one of {', '.join(MODES)}")
+    if len(files) == 1 and not hive_partitioning:
+        return spark.read.parquet(*_paths(location, files))
     if len(files) > _MANY and mode != "safe_widening" and not hive_partitioning:
         # footers are merged by Spark's tasks, not one by one from here
         merged = spark.read.option("mergeSchema", "true").parquet(*_paths(location, files))
