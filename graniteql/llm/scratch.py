@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
-_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,7 +45,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        if spark.conf.get(_BATCH, None) is None:
             spark.conf.set(_BATCH, str(8 << 20))
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         atexit.register(remove, spark, self.root)
