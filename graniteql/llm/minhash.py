@@ -9,7 +9,8 @@ others near enough, and documents with links make up classes.
 * Equal word sequences are one class before anything else, so copies cost one row each.
 * A bucket gives one pair a member, with its least member; weighted Jaccard distance is a metric, so of those
   that failed only texts whose distance to the least differs by 0.2 or less can be linked. These are compared by
-  signature in their bucket (split by a second band where it is large), the likeliest pairs first.
+  signature in their bucket, the likeliest pairs first. A large bucket is dealt in pairs of blocks over tasks, so that
+  each such pair meets once, whatever the size of the bucket.
 """
 
 from __future__ import annotations
@@ -220,24 +221,22 @@ def _likely(rows: DataFrame, n: int, s: Settings) -> DataFrame:
     """Of members of one bucket with different roots: pairs (a, b, rank) whose signatures agree nearly as often as
     the threshold asks and whose distances to the least allow a link; rank: place among a's partners by likeness.
 
-    A pair is told in the bucket of its first common band only (of its first two, in a bucket that is split).
+    A pair is told in the bucket of its first common band only. Rows of one key with ``side`` 0 are compared with each
+    other; where a key has sides 1 and 2, these are two blocks of a bucket, and the one is compared with the other.
     """
     least, k = s.threshold - s.doubt, s.bands * s.rows
 
-    def group(rid: np.ndarray, root: np.ndarray, sim: np.ndarray, band: int, second: int, sig: list[bytes]) -> pa.RecordBatch | None:
+    def group(rid: np.ndarray, root: np.ndarray, sim: np.ndarray, side: np.ndarray, band: int, sig: list[bytes]) -> pa.RecordBatch | None:
         m = np.frombuffer(b"".join(sig), np.uint32).reshape(len(rid), k)
         out: list[np.ndarray] = []
         step = max(1, (1 << 22) // max(1, len(rid) * k))
         for i in range(0, len(rid), step):
             j = slice(i, i + step)
             alike = (m[j, None, :] == m[None, :, :]).sum(2)
-            ok = (alike >= least * k) & (root[j, None] != root[None, :]) & (np.abs(sim[j, None] - sim[None, :]) <= 1 - s.threshold + 1e-9)
+            ok = (alike >= least * k) & ((side[j, None] == 0) | (side[j, None] != side[None, :])) & (root[j, None] != root[None, :]) & (np.abs(sim[j, None] - sim[None, :]) <= 1 - s.threshold + 1e-9)
             x, y = np.nonzero(ok)
             common = (m[i + x] == m[y]).reshape(len(x), s.bands, s.rows).all(2)
             told = common.argmax(1) == band
-            if second >= 0:
-                common[:, band] = False
-                told &= common.argmax(1) == second
             x, y = x[told], y[told]
             order = np.lexsort((rid[y], -alike[x, y], x))
             x, y = x[order], y[order]
@@ -270,7 +269,7 @@ def _likely(rows: DataFrame, n: int, s: Settings) -> DataFrame:
         if (r := _flush(held, group)) is not None:
             yield r
 
-    dealt = rows.select("key", "rid", "root", "sim", "band", "second", "sig").repartition(n, "key").sortWithinPartitions("key", "rid")
+    dealt = rows.select("key", "rid", "root", "sim", "side", "band", "sig").repartition(n, "key").sortWithinPartitions("key", "rid")
     return dealt.mapInArrow(step, "a long, b long, rank long")
 
 
@@ -280,7 +279,23 @@ def _flush(held: list, group) -> pa.RecordBatch | None:
     t = pa.Table.from_batches(held)
     if t.num_rows < 2:
         return None
-    return group(*(t.column(c).to_numpy() for c in ("rid", "root", "sim")), *(t.column(c)[0].as_py() for c in ("band", "second")), t.column("sig").to_pylist())
+    return group(*(t.column(c).to_numpy() for c in ("rid", "root", "sim", "side")), t.column("band")[0].as_py(), t.column("sig").to_pylist())
+
+
+def _deal(rows: DataFrame, s: Settings) -> DataFrame:
+    """A row (key, side) for each comparison a member takes part in. Of ``m`` members of a bucket ``f`` failed against
+    its least; the others are linked with it, and so with each other. Where m is large, failed and linked ones are dealt
+    into blocks, and every block of failed ones meets itself and every other block."""
+    blocks = lambda n: F.ceil(n / _LARGE).cast("int")
+    rows = rows.withColumn("bf", blocks(F.col("f"))).withColumn("bl", blocks(F.col("m") - F.col("f")))
+    own = F.when(F.col("sim") < s.threshold, F.pmod(F.xxhash64("rid"), F.col("bf"))).otherwise(F.col("bf") + F.pmod(F.xxhash64("rid"), F.col("bl"))).cast("int")
+    rows = rows.withColumn("own", own).withColumn("last", F.when(F.col("own") < F.col("bf"), F.col("bf") + F.col("bl")).otherwise(F.col("bf")) - 1)
+    meet = lambda x: F.struct(
+        F.xxhash64("key", F.least("own", x), F.greatest("own", x)).alias("key"), F.when(x == F.col("own"), 0).when(F.col("own") < x, 1).otherwise(2).alias("side")
+    )
+    whole = F.array(F.struct(F.col("key").alias("key"), F.lit(0).alias("side")))
+    met = F.when(F.col("m") > _LARGE, F.transform(F.sequence(F.lit(0), F.col("last")), meet)).otherwise(whole)
+    return rows.withColumn("x", F.explode(met)).select("rid", "root", "sig", "band", "sim", "x.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id") -> DataFrame:
@@ -323,13 +338,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, s: Settings = Settings
     open_ = placed.join(failed, "key").filter(F.col("sim") <= F.col("best") + (1 - s.threshold) + 1e-9)
     open_ = open_.join(roots, open_["rid"] == roots["node"], "left").withColumn("root", F.coalesce("root", "rid"))
     open_ = scratch.write(open_.select("rid", "root", "key", "band", "sim"), "open")
-    sizes = open_.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).filter("m > 1 and low <> high")
-    asked = open_.join(sizes.select("key", "m"), "key").groupBy("rid", "root").agg(F.collect_list(F.struct("key", "band", "sim", "m")).alias("asked"))
-    asked = asked.join(reps, "rid").select("rid", "root", "sig", parts.alias("parts"), F.explode("asked").alias("x")).select("rid", "root", "sig", "parts", "x.*")
-    second = F.filter(F.transform("parts", lambda p, i: F.struct(F.xxhash64("key", p).alias("key"), i.alias("second"))), lambda x: x["second"] > F.col("band"))
-    keys = F.when(F.col("m") > _LARGE, second).otherwise(F.array(F.struct(F.col("key").alias("key"), F.lit(-1).alias("second"))))
-    asked = asked.select("rid", "root", "sig", "band", "sim", F.explode(keys).alias("x")).select("rid", "root", "sig", "band", "sim", "x.*")
-    likely = scratch.write(_likely(asked, partitions(spark), s), "likely")
+    sizes = open_.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), F.count_if(F.col("sim") < s.threshold).alias("f")).filter("m > 1 and low <> high")
+    asked = open_.join(sizes.select("key", "m", "f"), "key").groupBy("rid", "root").agg(F.collect_list(F.struct("key", "band", "sim", "m", "f")).alias("asked"))
+    asked = asked.join(reps, "rid").select("rid", "root", "sig", F.explode("asked").alias("x")).select("rid", "root", "sig", "x.*")
+    likely = scratch.write(_likely(_deal(asked, s), partitions(spark), s), "likely")
     for k, (low, high) in enumerate(zip(_ROUNDS, _ROUNDS[1:], strict=False)):
         now = likely.filter(F.col("rank") >= low) if high is None else likely.filter(F.col("rank").between(low, high - 1))
         for side in ("a", "b"):

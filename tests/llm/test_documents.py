@@ -354,6 +354,49 @@ def test_near_duplicates_link_past_the_least(spark):
     assert {x["class_id"] for x in found.values()} == {0}
 
 
+def test_near_duplicates_in_a_large_bucket(spark):
+    """Pairs whose only common band is that of a bucket of over 512 open members, against brute force."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from graniteql.llm.kernels import Text
+
+    r = random.Random(6)
+    base = [f"b{i}" for i in range(80)]
+    texts = [" ".join(base)]
+    for i in range(500):  # pairs that are alike, all others aren't
+        at = r.randrange(8, 68)
+        near = base[:at] + [f"n{i}_{j}" for j in range(5)] + base[at + 5 :]
+        texts += [" ".join(near), " ".join(near[:-1] + ["end"])]
+    s = minhash.Settings(bands=1, rows=1, doubt=0.8)
+    (_, _, text), = Text.of(pa.array(texts), 1 << 30)
+    own, value, count = minhash.entries(text, s.words)
+    frequency = np.bincount(minhash._slot(value), minlength=1 << 22)
+    weight = minhash.weights(value, count, minhash.idf_table(frequency, len(texts), s.idf_floor))
+    sig = minhash.signatures(own, value, weight, len(texts), 1)[:, 0]
+    bags = [dict(zip(value[own == i].tolist(), weight[own == i].tolist(), strict=True)) for i in range(len(texts))]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sig[i] == sig[j]:
+                low = sum(min(w, bags[j][v]) for v, w in bags[i].items() if v in bags[j])
+                if low >= s.threshold * (sum(bags[i].values()) + sum(bags[j].values()) - low):
+                    root[max(find(i), find(j))] = min(find(i), find(j))
+    expected = {i: find(i) for i in range(len(texts))}
+    failed = sum(sig[i] == sig[0] and expected[i] != 0 for i in expected)
+    assert failed > 512 and len(set(expected.values())) < len(texts) - 200
+    found = minhash.near_duplicates(spark, frame(spark, [(i, x, "en", "s", 1) for i, x in enumerate(texts)]), s).collect()
+    assert {x["doc_id"]: x["class_id"] for x in found} == expected
+
+
 def test_weighted_samples_agree_as_often_as_texts():
     import numpy as np
 
