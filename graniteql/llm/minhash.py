@@ -44,7 +44,7 @@ class Settings:
     bands: int = 20
     rows: int = 5
     idf_floor: float = 0.85
-    doubt: float = 0.095
+    doubt: float = 0.165
 
 
 def entries(text: K.Text, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -305,8 +305,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, s: Settings = Settings
     (A-Z). Texts of equal words are always linked, so all texts without a word (nulls too) are one class. Null ids
     come last; rows that share an id are documents of their own. Extra columns are ignored; an empty table gives an
     empty one. A link is missed if no band of the two signatures agrees (once in 2,700 at similarity 0.8, never
-    in practice above 0.85), or if both failed against their bucket's least and their signatures agree by far less
-    than the texts do (once in a hundred at 0.8, once in a thousand at 0.825).
+    in practice above 0.85), or if both failed against their bucket's least and fewer than 64 of 100 samples of
+    their signatures agree (once in 16,000 at 0.8, once in 360,000 at 0.825).
     """
     scratch = Scratch(spark, "minhash")
     rows = with_ids(spark, docs, id_col, ["text"], scratch)

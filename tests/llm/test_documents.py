@@ -397,6 +397,20 @@ def test_near_duplicates_in_a_large_bucket(spark):
     assert {x["doc_id"]: x["class_id"] for x in found} == expected
 
 
+def test_signatures_may_fall_short_by_three_deviations(spark):
+    """Of 100 samples of texts of similarity 0.8, 68 or fewer agree once in 400; such a pair is still verified."""
+    import numpy as np
+
+    s = minhash.Settings()
+    k = s.bands * s.rows
+    short = int(k * s.threshold - 3 * (k * s.threshold * (1 - s.threshold)) ** 0.5)
+    one = np.arange(k, dtype=np.uint32)
+    other = np.where(np.arange(k) < short, one, one + np.uint32(1000)).astype(np.uint32)
+    rows = [(1, i, i, 0.7, 0, 0, bytearray(x.tobytes())) for i, x in enumerate((one, other))]
+    rows = spark.createDataFrame(rows, "key long, rid long, root long, sim double, side int, band int, sig binary")
+    assert [(r["a"], r["b"]) for r in minhash._likely(rows, 1, s).collect()] == [(1, 0)]
+
+
 def test_weighted_samples_agree_as_often_as_texts():
     import numpy as np
 
