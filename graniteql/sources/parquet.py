@@ -85,12 +85,9 @@ def read_parquet(spark: SparkSession, location: str, union_by_name: bool | None
         raise SourceError(f"schema_mode is one of {', '.join(MODES)}")
     if len(files) == 1 and not hive_partitioning:
         return spark.read.parquet(*_paths(location, files))
-    if len(files) > _MANY and mode != "safe_widening" and not hive_partitioning:
-        # footers are merged by Spark's tasks, not one by one from here
-        merged = spark.read.option("mergeSchema", "true").parquet(*_paths(location, files))
-        if mode == "strict" and merged.schema != spark.read.parquet(files[0].path).schema:
-            raise SourceError("the files' schemas differ")
-        return merged
+    if len(files) > _MANY and mode == "union" and not hive_partitioning:
+        # footers are merged by Spark's tasks, not one by one from here; strict needs each file's own
+        return spark.read.option("mergeSchema", "true").parquet(*_paths(location, files))
     groups = file_schemas(spark, files)
     columns = merged_schema(list(groups), mode)
     keys: dict[str, str] = {}

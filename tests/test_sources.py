@@ -149,3 +149,16 @@ def test_files_must_not_change_under_a_query(engine, tmp_path):
     put(tmp_path / "s.csv", "id,t\n1,a\n2,b\n3,c\n")
     with pytest.raises(SourceError):
         result.fetchall()
+
+
+def test_strict_parquet_compares_each_of_many_files(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for i in range(65):
+        pq.write_table(pa.table({"a": [i], "b": [i]}), tmp_path / f"f{i:02}.parquet")
+    assert read_parquet(spark, str(tmp_path)).count() == 65
+    for other in ({"a": [1]}, {"b": [1], "a": [1]}):
+        pq.write_table(pa.table(other), tmp_path / "f40.parquet")
+        with pytest.raises(SourceError, match="schemas differ"):
+            read_parquet(spark, str(tmp_path))
