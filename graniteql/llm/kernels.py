@@ -2,13 +2,19 @@
 
 All of them work on the UTF-8 bytes of a batch at once with numpy, so the cost is a few nanoseconds a byte and
 no Python object is made per word.  White space is ``[\\x20\\x09-\\x0D]`` throughout, which is ASCII, so byte
-positions are safe cut points.  Hashes are 64-bit, seeded by constants only, and equal on every machine.
+positions are safe cut points.  Bytes are gone through in blocks, so a very long text or word costs little more
+memory than itself.
+
+Hashes are 64-bit, seeded by constants only, and equal on every machine. Eight bytes (or one item) at a time are
+keyed by their place and put through a bijective mixer before they are added up, so no algebra of the text (such as
+that of self-similar texts) makes sums meet; two seeds give two independent hashes, and what stands for a text or a
+line across documents is a pair of them.
 """
 
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +22,12 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 CHUNK_BYTES = 2 << 20
-_BLOCK = 1 << 18
+_BLOCK = 1 << 20
+_GOLD = U64(0x9E3779B97F4A7C15)
+_TURN = U64(0xD6E8FEB86659FD93)
+_SEEDS = (np.array([0x243F6A8885A308D3], U64), np.array([0x13198A2E03707344], U64))
+#: Spans of up to so many eights of bytes are hashed side by side, longer ones one by one.
+_LEVELS = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,18 +43,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 def stream(seed: int, n: int) -> np.ndarray:
     """n pseudo-random 64-bit words that depend on the seed only."""
     with np.errstate(over="ignore"):
-        return mix((np.arange(1, n + 1, dtype=U64) + U64(seed << 32)) * U64(0x9E3779B97F4A7C15))
+        return mix((np.arange(1, n + 1, dtype=U64) + U64(seed << 32)) * _GOLD)
 
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _LEAD = (np.arange(256) & 0xC0) != 0x80
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 
+def _is_space(data: np.ndarray) -> np.ndarray:
+    return ((data - np.uint8(9)) < 5) | (data == 32)
+
+
+def _lower(data: np.ndarray) -> np.ndarray:
+    return data + ((data - np.uint8(65)) < 26) * np.uint8(32)
+
+
 def release() -> None:
     """Gives freed memory back to the system: workers live on from task to task, and what they keep adds up."""
     pa.default_memory_pool().release_unused()
@@ -62,32 +79,6 @@ def _libc() -> list:
 _LIBC = _libc()
 
 
-class _Poly:
-    """Polynomial hashing modulo 2**64 by prefix sums, with the powers kept."""
-
-    def __init__(self, seed: int, base: int):
-        self.table = stream(seed, 256)
-        self.base = base
-        self.up = self.down = np.ones(1, U64)
-
-    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 14)
-            inverse = pow(self.base, -1, 1 << 64)
-            self.up, self.down = (self._run(b, size) for b in (self.base, inverse))
-        return self.up, self.down
-
-    @staticmethod
-    def _run(base: int, n: int) -> np.ndarray:
-        out = np.full(n, base, U64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-
-_BYTES = (_Poly(11, 0x9E3779B97F4A7C0B), _Poly(23, 0xC2B2AE3D27D4EB4F))
-_ITEMS = (_Poly(31, 0xD6E8FEB86659FD93), _Poly(47, 0xA0761D6478BD642F))
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; a null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -128,87 +119,176 @@ class Text:
             yield a, b, cls(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         release()
 
-    def _spans(self, gap: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Maximal runs of bytes outside ``gap`` that don't cross ``bounds``."""
-        n = len(gap)
-        if not n:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        inside = ~gap
-        first, last = inside.copy(), inside.copy()
-        first[1:] &= gap[:-1]
-        last[:-1] &= gap[1:]
-        cut = bounds[(bounds > 0) & (bounds < n)]
-        first[cut] = inside[cut]
-        last[cut - 1] = inside[cut - 1]
-        return np.flatnonzero(first), np.flatnonzero(last) + 1
-
     def split_words(self) -> None:
         """Sets starts, ends (bytes) of the words, and first: the words before each text."""
-        self.space = _SPACE[self.data]
-        self.starts, self.ends = self._spans(self.space, self.offsets)
+        self.starts, self.ends = runs(len(self.data), lambda a, b: _is_space(self.data[a:b]), self.offsets)
         self.first = np.searchsorted(self.starts, self.offsets).astype(np.int64)
 
+    def full_lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the lines that aren't empty."""
+        return runs(len(self.data), lambda a, b: self.data[a:b] == 10, self.offsets)
+
     @property
     def n_words(self) -> np.ndarray:
         return np.diff(self.first)
 
     def word_hash(self, lower: bool = False, which: int = 0) -> np.ndarray:
-        data = _LOWER[self.data] if lower else self.data
-        return span_hash(data, self.starts, self.ends, which)
-
-    def per_text(self, flags: np.ndarray) -> np.ndarray:
-        """How many of the marked bytes are in each text."""
-        total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-        return total[self.offsets[1:]] - total[self.offsets[:-1]]
+        return span_hash(self.data, self.starts, self.ends, which, lower)
+
+    def before(self, table: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How many bytes of the table stand before each of the rising positions."""
+        out, total, done = np.empty(len(at), np.int64), 0, 0
+        for a in range(0, max(len(self.data), 1), _BLOCK):
+            sums = np.concatenate([[0], np.cumsum(table[self.data[a : a + _BLOCK]], dtype=np.int32)])
+            to = int(np.searchsorted(at, a + len(sums) - 1, side="right"))
+            out[done:to] = total + sums[at[done:to] - a]
+            total, done = total + int(sums[-1]), to
+        return out
+
+    def per_text(self, table: np.ndarray) -> np.ndarray:
+        """How many bytes of the table are in each text."""
+        return np.diff(self.before(table, self.offsets))
 
     def code_points(self) -> np.ndarray:
-        return self.per_text(_LEAD[self.data])
-
-
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hashes of byte spans in rising order."""
-    poly, out, at, n = _BYTES[which], np.empty(len(starts), U64), 0, len(starts)
+        return self.per_text(_LEAD)
+
+
+def runs(n: int, gap: Callable[[int, int], np.ndarray], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs outside the gaps that don't cross ``bounds``; gap(a, b): flags of a..b."""
+    found, outside = [], True
+    cuts = bounds[(bounds > 0) & (bounds < n)]
+    for a in range(0, n, _BLOCK):
+        out = gap(a, min(n, a + _BLOCK))
+        turn = np.empty_like(out)
+        turn[0] = out[0] != outside
+        np.not_equal(out[1:], out[:-1], out=turn[1:])
+        at = np.flatnonzero(turn)
+        cut = np.unique(cuts[np.searchsorted(cuts, a) : np.searchsorted(cuts, a + len(out))]) - a
+        cut = cut[~turn[cut] & ~out[cut]]  # within a run: it ends, and another begins
+        if len(cut):
+            at = np.insert(at, np.repeat(np.searchsorted(at, cut), 2), np.repeat(cut, 2))
+        found.append(at + a)
+        outside = out[-1]
+    if not outside:
+        found.append(np.array([n]))
+    turns = np.concatenate([np.zeros(0, np.int64), *found])
+    return turns[::2], turns[1::2]
+
+
+_REST = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of byte spans in rising order; lower: as if A-Z were a-z."""
+    sums, at, n = np.zeros(len(starts), U64), 0, len(starts)
+    long = np.flatnonzero(ends - starts > 8 * _LEVELS)
+    for i in long.tolist():
+        sums[i] = _long_sum(data[starts[i] : ends[i]], which, lower)
+    stops = np.append(long, n)
     while at < n:
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + _BLOCK, side="right")))
-        low, high = int(starts[at]), int(ends[to - 1])
-        up, down = poly.powers(high - low + 1)
-        sums = np.zeros(high - low + 1, U64)
-        np.cumsum(poly.table[data[low:high]] * up[: high - low], out=sums[1:])
-        s, e = starts[at:to] - low, ends[at:to] - low
-        part = (sums[e] - sums[s]) * down[s]
-        part += (e - s).astype(U64) * U64(0x9E3779B97F4A7C15)
-        out[at:to] = mix(part)
-        at = to
+        to = min(int(stops[np.searchsorted(stops, at)]), max(at + 1, int(np.searchsorted(ends, starts[at] + _BLOCK, side="right"))))
+        if to > at:
+            low, high = int(starts[at]), int(ends[to - 1])
+            part = np.zeros(high - low + 8, np.uint8)
+            part[:-8] = _lower(data[low:high]) if lower else data[low:high]
+            _short_sums(part, starts[at:to] - low, ends[at:to] - low, which, sums[at:to])
+            at = to
+        else:
+            at += 1  # a long span
+    sums += (ends - starts).astype(U64) * _GOLD
+    return mix(sums)
+
+
+def _short_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int, out: np.ndarray) -> None:
+    """Adds to ``out`` level by level, the first eight bytes of all spans, the next of those that have more, and so on."""
+    eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    at, left, who, key = starts, ends - starts, None, _SEEDS[which].copy()
+    while True:
+        x = eights[at]
+        x &= _REST[np.minimum(left, 8)]
+        x ^= key
+        key += _GOLD
+        if who is None:
+            out += mix(x)
+        else:
+            out[who] += mix(x)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return
+        at, left, who = at[more] + 8, left[more] - 8, more if who is None else who[more]
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether data[starts:starts + sizes] equals other[at:at + sizes], byte by byte, for each span."""
+    out = np.ones(len(starts), bool)
+    long = np.flatnonzero(sizes > 8 * _LEVELS)
+    for i in long.tolist():
+        out[i] = np.array_equal(data[starts[i] : starts[i] + sizes[i]], other[at[i] : at[i] + sizes[i]])
+    who = np.flatnonzero((sizes > 0) & (sizes <= 8 * _LEVELS))
+    one, two = (np.ndarray((max(len(x) - 7, 0),), "<u8", x, strides=(1,)) for x in (data, other))
+    a, b, left = starts[who], at[who], sizes[who]
+    while len(who):
+        rest = _REST[np.minimum(left, 8)]
+        out[who] &= (one[a] & rest) == (two[b] & rest)
+        more = left > 8
+        who, a, b, left = who[more], a[more] + 8, b[more] + 8, left[more] - 8
     return out
 
 
-def windows(items: np.ndarray, first: np.ndarray, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def _long_sum(span: np.ndarray, which: int, lower: bool) -> np.uint64:
+    total = np.zeros(1, U64)
+    for a in range(0, len(span), _BLOCK):
+        piece = span[a : a + _BLOCK]
+        x = np.zeros((len(piece) + 7) >> 3, U64)
+        x.view(np.uint8)[: len(piece)] = _lower(piece) if lower else piece
+        key = np.arange(a >> 3, (a >> 3) + len(x), dtype=U64)
+        key *= _GOLD
+        key += _SEEDS[which]
+        total += mix(x ^ key).sum()
+    return total[0]
+
+
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in this order."""
+    x = left * _TURN
+    x += right
+    return mix(x)
+
+
+def windows(items: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k items that lie in one text, and the item each run starts at.
 
-    first: the items before each text, and their number.
+    first: the items before each text, and their number. A run's hash is put together from those of its parts of
+    1, 2, 4, ... items, each joined by the mixer.
     """
     counts = np.maximum(np.diff(first) - k + 1, 0)
     total = int(counts.sum())
     before = np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) if len(counts) else np.zeros(0, np.int64)
     at = np.arange(total, dtype=np.int64) + before
-    return run_hash(items, at, at + k, which), at
-
-
-def run_hash(items: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hashes of runs of items; starts rise, and a run's end isn't far from its start."""
-    poly, out, at, n = _ITEMS[which], np.empty(len(starts), U64), 0, len(starts)
-    while at < n:
-        to = min(n, at + (_BLOCK >> 1))
-        low, high = int(starts[at]), int(ends[at:to].max())
-        up, down = poly.powers(high - low + 1)
-        sums = np.zeros(high - low + 1, U64)
-        np.cumsum(mix(items[low:high] + poly.table[0]) * up[: high - low], out=sums[1:])
-        s, e = starts[at:to] - low, ends[at:to] - low
-        part = (sums[e] - sums[s]) * down[s]
-        part += (e - s).astype(U64) * U64(0x9E3779B97F4A7C15)
-        out[at:to] = mix(part)
-        at = to
-    return out
+    if not total:
+        return np.zeros(0, U64), at
+    whole, size, part, width = None, 0, items, 1
+    while True:
+        if k & width:
+            whole = part if whole is None else joined(part[: len(whole) - width], whole[width:])
+            size += width
+        if size == k:
+            return whole[at], at
+        part = joined(part[:-width], part[width:])
+        width *= 2
+
+
+def text_hash(items: np.ndarray, first: np.ndarray, which: int = 0) -> np.ndarray:
+    """A hash of all the items of each text, in order."""
+    counts = np.diff(first)
+    place = np.arange(int(first[-1]) - int(first[0]), dtype=U64) - np.repeat((first[:-1] - first[0]).astype(U64), counts)
+    place *= _GOLD
+    place += _SEEDS[which]
+    place ^= items[first[0] : first[-1]]
+    out, full = np.zeros(len(counts), U64), np.flatnonzero(counts)
+    if len(full):
+        out[full] = np.add.reduceat(mix(place), (first[:-1] - first[0])[full])
+    return mix(out + counts.astype(U64) * _GOLD)
 
 
 def per_row(counts: np.ndarray) -> np.ndarray:

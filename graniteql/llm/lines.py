@@ -2,12 +2,13 @@
 
 Documents come in batches of rising ids. Each batch's new line keys are merge-anti-joined with the runs so far
 and written as a sorted run of their own, with the document that owns each key; a level with too many runs is
-compacted into one run of the next level. A line whose key another, earlier document owns is dropped.
+compacted, two runs merged into one of the next level. A line whose key another, earlier document owns is dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from . import kernels as K
 from .scratch import Scratch, partitions, with_ids
 
 RUN = "k1 long, k2 long, owner long"
-_HASH_BYTES = np.dtype([("a", np.uint64), ("b", np.uint64)])
+_ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def _lines(text: K.Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -35,18 +36,16 @@ def _lines(text: K.Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _keys(text: K.Text, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Line number, text number and both hashes of each line whose key has enough code points; and all lines."""
+    """Line number, text number and the ends of the key of each line whose key is long enough; and all lines."""
     starts, ends, counts = _lines(text)
-    solid = np.concatenate([[0], np.cumsum(~K._SPACE[text.data], dtype=np.int64)])
-    full = np.flatnonzero(solid[ends] > solid[starts])
-    where = np.flatnonzero(~K._SPACE[text.data])
-    low = where[solid[starts[full]]]
-    high = where[solid[ends[full]] - 1] + 1
-    points = np.concatenate([[0], np.cumsum(K._LEAD[text.data], dtype=np.int64)])
-    long = points[high] - points[low] >= least
+    text.split_words()
+    i, j = np.searchsorted(text.starts, starts), np.searchsorted(text.ends, ends, side="right")
+    full = np.flatnonzero(j > i)
+    low, high = text.starts[i[full]], text.ends[j[full] - 1]
+    points = text.before(K._LEAD, np.stack([low, high], 1).reshape(-1)).reshape(-1, 2)
+    long = points[:, 1] - points[:, 0] >= least
     full, low, high = full[long], low[long], high[long]
-    data = K._LOWER[text.data]
-    return full, K.per_row(counts)[full], K.span_hash(data, low, high, 0), K.span_hash(data, low, high, 1), (starts, ends, counts)
+    return full, K.per_row(counts)[full], low, high, (starts, ends, counts)
 
 
 def line_keys(docs: DataFrame, least: int) -> DataFrame:
@@ -56,7 +55,8 @@ def line_keys(docs: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             rid = batch.column(0).to_numpy()
             for a, _, text in K.Text.of(batch.column(1)):
-                _, row, one, two, _ = _keys(text, least)
+                _, row, low, high, _ = _keys(text, least)
+                one, two = (K.span_hash(text.data, low, high, i, True) for i in (0, 1))
                 order = np.lexsort((two, one, row))
                 row, one, two = row[order], one[order], two[order]
                 new = np.ones(len(row), bool)
@@ -67,7 +67,9 @@ def line_keys(docs: DataFrame, least: int) -> DataFrame:
 
 
 class LineRuns:
-    """Sorted runs in levels. A run is bucketed and sorted by key, so merging it needs no shuffle of its own."""
+    """Sorted runs in levels. A run is a table bucketed by key, each bucket one sorted file, and read in that order: so
+    a batch is merged with it, and two runs with each other, without moving or sorting the run again, a row of each in
+    memory at a time. A level holds ``fanout`` runs at most; one more, and its two oldest become one of the next."""
 
     def __init__(self, spark: SparkSession, scratch: Scratch, fanout: int = 3, buckets: int | None = None):
         self.spark, self.scratch, self.fanout = spark, scratch, fanout
@@ -75,35 +77,55 @@ class LineRuns:
         self.levels: list[list[str]] = [[]]
         self.made = 0
 
+    @contextmanager
+    def _in_order(self) -> Iterator[None]:
+        """Scans of runs tell their order; the session's own setting comes back after."""
+        before = self.spark.conf.get(_ORDERED, None)
+        self.spark.conf.set(_ORDERED, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.unset(_ORDERED) if before is None else self.spark.conf.set(_ORDERED, before)
+
     def _write(self, rows: DataFrame) -> str:
+        """Rows that are dealt by key already."""
         name = f"run{self.made}"
         self.made += 1
         table = f"{self.scratch.root.rsplit('/', 1)[1]}_{name}".replace("-", "_")
-        sorted_rows = rows.repartition(self.buckets, "k1", "k2")
-        sorted_rows.write.mode("overwrite").format("parquet").bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").option("path", f"{self.scratch.root}/{name}").saveAsTable(table)
+        with self._in_order():
+            rows.write.mode("overwrite").format("parquet").bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").option("path", f"{self.scratch.root}/{name}").option("compression", "zstd").saveAsTable(table)
         return table
 
     def runs(self) -> list[str]:
         return [name for level in self.levels for name in level]
 
-    def add(self, batch: DataFrame) -> None:
-        """(k1, k2, owner), one row a key, of documents later than all before."""
+    def unknown(self, batch: DataFrame) -> DataFrame:
+        """Of (k1, k2, owner), one row a key, those whose key no run holds."""
         for name in self.runs():
             batch = batch.join(self.spark.table(name).hint("merge"), ["k1", "k2"], "left_anti")
-        self.levels[0].append(self._write(batch))
+        return batch
+
+    def merged(self, one: str, two: str) -> DataFrame:
+        """The rows of two runs, which share no key, merged."""
+        a, b = self.spark.table(one), self.spark.table(two).withColumnRenamed("owner", "other")
+        return a.join(b.hint("merge"), ["k1", "k2"], "full").select("k1", "k2", F.coalesce("owner", "other").alias("owner"))
+
+    def add(self, keys: DataFrame) -> None:
+        """(k1, k2, rid): the keys of documents later than all before."""
+        batch = keys.groupBy("k1", "k2").agg(F.min("rid").alias("owner"))
+        if self.buckets != partitions(self.spark):
+            batch = batch.repartition(self.buckets, "k1", "k2")
+        self.levels[0].append(self._write(self.unknown(batch)))
         level = 0
         while len(self.levels[level]) > self.fanout:
-            rows = None
-            for name in self.levels[level]:
-                rows = self.spark.table(name) if rows is None else rows.unionByName(self.spark.table(name))
-            merged = self._write(rows)
-            for name in self.levels[level]:
+            one, two = self.levels[level][:2]
+            if level + 1 == len(self.levels):
+                self.levels.append([])
+            self.levels[level + 1].append(self._write(self.merged(one, two)))
+            self.levels[level] = self.levels[level][2:]
+            for name in (one, two):
                 self._forget(name)
-            self.levels[level] = []
             level += 1
-            if level == len(self.levels):
-                self.levels.append([])
-            self.levels[level].append(merged)
 
     def _forget(self, table: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {table}")
@@ -138,11 +160,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, least: int = 10, batches:
             part = part.filter(F.col("rid") > int(low))
         if high is not None:
             part = part.filter(F.col("rid") <= int(high))
-        runs.add(part.groupBy("k1", "k2").agg(F.min("rid").alias("owner")))
+        runs.add(part)
     owners = runs.close()
     lost = keys.join(owners, ["k1", "k2"]).filter(F.col("rid") != F.col("owner"))
-    lists = lost.groupBy("rid").agg(F.collect_list(F.struct("k1", "k2")).alias("lost"))
-    joined = rows.join(lists.hint("shuffle_hash"), "rid", "left").select("rid", "doc_id", "text", "lost")
+    lists = lost.groupBy("rid").agg(F.collect_list("k1").alias("lost"))  # within a document one hash will do
+    joined = rows.join(lists.hint("merge"), "rid", "left").select("rid", "doc_id", "text", "lost")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,23 +175,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, least: int = 10, batches:
 
 
 def _without(batch: pa.RecordBatch, text: K.Text, least: int) -> pa.RecordBatch:
-    full, row, one, two, (starts, ends, counts) = _keys(text, least)
+    full, row, low, high, (starts, ends, counts) = _keys(text, least)
     lost = batch.column(3)
     size = lost.value_lengths().fill_null(0).to_numpy()
-    flat = lost.flatten()
+    flat = lost.flatten().to_numpy().view(np.uint64)
     dropped = np.zeros(len(starts), bool)
     if len(flat):
-        # of a document's lost keys and its lines' keys together, those lines that equal a lost key
+        # only texts that lose something need their hashes again; of these, the lines that equal a lost key
+        some = size[row] > 0
+        full, row, low, high = full[some], row[some], low[some], high[some]
         owner = np.concatenate([K.per_row(size), row])
-        first = np.concatenate([flat.field(0).to_numpy().view(np.uint64), one])
-        second = np.concatenate([flat.field(1).to_numpy().view(np.uint64), two])
-        order = np.lexsort((second, first, owner))
+        key = np.concatenate([flat, K.span_hash(text.data, low, high, 0, True)])
+        order = np.lexsort((key, owner))
         new = np.ones(len(order), bool)
-        for column in (owner, first, second):
-            c = column[order]
-            new[1:] &= c[1:] == c[:-1]
-        new[1:] = ~new[1:]
-        new[0] = True
+        new[1:] = (owner[order][1:] != owner[order][:-1]) | (key[order][1:] != key[order][:-1])
         group = np.cumsum(new) - 1
         marked = np.zeros(int(group[-1]) + 1, bool)
         marked[group[order < len(flat)]] = True
@@ -178,13 +197,14 @@ def _without(batch: pa.RecordBatch, text: K.Text, least: int) -> pa.RecordBatch:
         dropped[full] = marked[of[len(flat) :]]
     n_dropped = np.bincount(K.per_row(counts)[dropped], minlength=text.n)
     at = np.concatenate([[0], np.cumsum(counts)])
-    data = text.data.tobytes()
+    data = memoryview(text.data)
     kept = []
     for i in range(text.n):
         if n_dropped[i]:
-            kept.append(b"\n".join(data[s:e] for s, e, gone in zip(starts[at[i] : at[i + 1]].tolist(), ends[at[i] : at[i + 1]].tolist(), dropped[at[i] : at[i + 1]].tolist(), strict=True) if not gone))
+            stay = at[i] + np.flatnonzero(~dropped[at[i] : at[i + 1]])
+            kept.append(b"\n".join([data[s:e] for s, e in zip(starts[stay].tolist(), ends[stay].tolist(), strict=True)]))
         else:
-            kept.append(data[text.offsets[i] : text.offsets[i + 1]])
+            kept.append(bytes(data[text.offsets[i] : text.offsets[i + 1]]))
     return pa.RecordBatch.from_arrays(
         [batch.column(0), batch.column(1), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(counts.astype(np.int64)), pa.array(n_dropped.astype(np.int64))],
         ["rid", "doc_id", "text", "n_lines", "n_dropped"],

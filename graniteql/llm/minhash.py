@@ -56,7 +56,7 @@ def entries(text: K.Text, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     n = text.n_words
     short = np.flatnonzero((n > 0) & (n < words))
     if len(short):
-        value = np.concatenate([value, K.run_hash(items, text.first[short], text.first[short + 1])])
+        value = np.concatenate([value, K.text_hash(items, text.first)[short]])
         own = np.concatenate([own, short])
     order = np.lexsort((value, own))
     own, value = own[order], value[order]
@@ -170,7 +170,7 @@ def _sign(rows: DataFrame, idf, s: Settings) -> DataFrame:
             for a, b, text in K.Text.of(batch.column(1), K.CHUNK_BYTES // 2):
                 own, value, count = entries(text, s.words)
                 sig = signatures(own, value, weights(value, count, idf.value), text.n, s.bands * s.rows)
-                whole = [K.run_hash(text.word_hash(lower=True, which=i), text.first[:-1], text.first[1:], i) if len(text.starts) else np.zeros(text.n, np.uint64) for i in (0, 1)]
+                whole = [K.text_hash(text.word_hash(lower=True, which=i), text.first, i) for i in (0, 1)]
                 width = 4 * s.bands * s.rows
                 offsets = pa.py_buffer((np.arange(text.n + 1) * width).astype(np.int32).tobytes())
                 yield pa.RecordBatch.from_arrays(

@@ -21,6 +21,7 @@ from .scratch import Scratch, small
 
 _MARK = "\x01"
 _CACHED = 3 << 18
+_LONG = 256
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -34,7 +35,8 @@ class WordTokenizer:
     """Ids of texts by a tokenizer whose pre-tokens never cross white space, so each distinct word is done once.
 
     ``_MARK`` between words is a pre-token of its own; the ids between two marks are a word's. Words that hold
-    the mark themselves are encoded singly. The table of known words is bounded and only saves time.
+    the mark themselves are encoded singly. The table of known words is bounded and only saves time: words are found
+    by hash, and then compared byte by byte with the word that the ids are of.
     """
 
     _open: dict[str, "WordTokenizer"] = {}
@@ -47,6 +49,7 @@ class WordTokenizer:
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.keys, self.begin, self.ids, self.again = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint16), np.zeros(0, bool)
+        self.letters, self.place = np.zeros(8, np.uint8), np.zeros(1, np.int64)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             self.ids = self.ids.astype(np.uint32)
 
@@ -77,40 +80,61 @@ class WordTokenizer:
         order = np.array([*easy, *hard], np.int64)
         return order, np.concatenate([*sizes, np.zeros(0, np.int64)]), np.concatenate([*ids, self.ids[:0]])
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        order, sizes, ids = self.encode(words)
-        begin = np.concatenate([self.begin[:-1], self.begin[-1] + np.cumsum(sizes) - sizes])
-        size = np.concatenate([np.diff(self.begin), sizes])
-        keys = np.concatenate([self.keys, keys[order]])
-        again = np.concatenate([self.again, np.zeros(len(order), bool)])
-        self._keep(np.argsort(keys), keys, begin, size, np.concatenate([self.ids, ids]), again)
-
-    def _keep(self, order: np.ndarray, keys: np.ndarray, begin: np.ndarray, size: np.ndarray, flat: np.ndarray, again: np.ndarray) -> None:
-        self.keys, self.again, size = keys[order], again[order], size[order]
-        self.ids = flat[ragged(begin[order], size)]
-        self.begin = np.concatenate([[0], np.cumsum(size)])
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """New words, spans of ``data``."""
+        raw = memoryview(data)
+        order, n_ids, ids = self.encode([str(raw[a : a + n], "utf-8", "replace") for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
+        keys, starts, sizes = keys[order], starts[order], sizes[order]
+        begin = np.concatenate([self.begin[:-1], self.begin[-1] + np.cumsum(n_ids) - n_ids])
+        place = np.concatenate([self.place[:-1], self.place[-1] + np.cumsum(sizes) - sizes])
+        letters = np.concatenate([self.letters[: self.place[-1]], data[ragged(starts, sizes)]])
+        known = (np.concatenate([self.keys, keys]), begin, np.concatenate([np.diff(self.begin), n_ids]), place, np.concatenate([np.diff(self.place), sizes]), np.concatenate([self.again, np.zeros(len(order), bool)]))
+        self._keep(np.argsort(known[0]), *known, np.concatenate([self.ids, ids]), letters)
+
+    def _keep(self, order: np.ndarray, keys: np.ndarray, begin: np.ndarray, n_ids: np.ndarray, place: np.ndarray, sizes: np.ndarray, again: np.ndarray, ids: np.ndarray, letters: np.ndarray) -> None:
+        self.keys, self.again = keys[order], again[order]
+        self.ids, self.letters = ids[ragged(begin[order], n_ids[order])], np.append(letters[ragged(place[order], sizes[order])], np.zeros(8, np.uint8))
+        self.begin, self.place = (np.concatenate([[0], np.cumsum(x[order])]) for x in (n_ids, sizes))
+
+    def _forget(self) -> None:
+        """Words that came again stay."""
+        self._keep(np.flatnonzero(self.again), self.keys, self.begin[:-1], np.diff(self.begin), self.place[:-1], np.diff(self.place), np.zeros_like(self.again), self.ids, self.letters)
 
     def tokens(self, text: K.Text, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all the texts in a row, each with ``end`` after it, and where each text begins."""
         text.split_words()
-        keys, where, inverse = np.unique(text.word_hash(), return_index=True, return_inverse=True)
-        if len(self.keys) > _CACHED:  # words that came again stay
-            self._keep(np.flatnonzero(self.again), self.keys, self.begin[:-1], np.diff(self.begin), self.ids, np.zeros_like(self.again))
+        data, sizes = np.append(text.data, np.zeros(8, np.uint8)), text.ends - text.starts
+        hashes = text.word_hash()
+        keys, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        # words that aren't what their hash stands for, and very long ones, are encoded singly
+        alone = ~K.same_spans(data, text.starts, sizes, data, text.starts[where][inverse]) | (sizes > _LONG)
+        if len(self.keys) > _CACHED:
+            self._forget()
         spot = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        new = self.keys[spot] != keys if len(self.keys) else np.ones(len(keys), bool)
-        self.again[spot[~new]] = True
+        hit = self.keys[spot] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        self.again[spot[hit]] = True
+        old = where[hit]
+        right = np.ones(len(keys), bool)
+        right[hit] = (np.diff(self.place)[spot[hit]] == sizes[old]) & K.same_spans(data, text.starts[old], sizes[old], self.letters, self.place[spot[hit]])
+        alone |= ~right[inverse]
+        new = ~hit & (sizes[where] <= _LONG)
         if new.any():
-            at = where[new]
-            data = text.data.tobytes()
-            self._learn(keys[new], [data[s:e].decode("utf-8", "replace") for s, e in zip(text.starts[at].tolist(), text.ends[at].tolist(), strict=True)])
-        if len(keys):
-            spot = np.searchsorted(self.keys, keys)
-        begin, size = self.begin[:-1][spot][inverse], np.diff(self.begin)[spot][inverse]
+            self._learn(keys[new], data, text.starts[where[new]], sizes[where[new]])
+        begin, n_ids, ids = np.zeros(len(inverse), np.int64), np.zeros(len(inverse), np.int64), self.ids
+        if len(self.keys):
+            spot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            begin, n_ids = self.begin[:-1][spot][inverse], np.diff(self.begin)[spot][inverse]
+        if alone.any():
+            odd = np.flatnonzero(alone)
+            raw = memoryview(data)
+            order, counts, more = self.encode([str(raw[a:b], "utf-8", "replace") for a, b in zip(text.starts[odd].tolist(), text.ends[odd].tolist(), strict=True)])
+            begin[odd[order]], n_ids[odd[order]] = len(ids) + np.cumsum(counts) - counts, counts
+            ids = np.concatenate([ids, more])
         stop = text.first[1:]
-        ids = np.concatenate([self.ids, np.array([end], self.ids.dtype)])
-        begin, size = np.insert(begin, stop, len(self.ids)), np.insert(size, stop, 1)
-        bounds = np.concatenate([[0], np.cumsum(size)])
-        return ids[ragged(begin, size)], bounds[text.first + np.arange(text.n + 1)]
+        ids = np.concatenate([ids, np.array([end], self.ids.dtype)])
+        begin, n_ids = np.insert(begin, stop, len(ids) - 1), np.insert(n_ids, stop, 1)
+        bounds = np.concatenate([[0], np.cumsum(n_ids)])
+        return ids[ragged(begin, n_ids)], bounds[text.first + np.arange(text.n + 1)]
 
 
 def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:

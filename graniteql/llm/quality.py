@@ -36,10 +36,10 @@ def measure(text: K.Text, window: int) -> list[np.ndarray]:
     """The five measures of each text, in the order of MEASURES."""
     text.split_words()
     words = text.n_words
-    chars = text.per_text(K._LEAD[text.data] & ~text.space)
-    symbols = text.per_text(K._SYMBOL[text.data])
+    chars = text.per_text(K._LEAD & ~K._SPACE)
+    symbols = text.per_text(K._SYMBOL)
 
-    starts, ends = text._spans(text.data == 10, text.offsets)
+    starts, ends = text.full_lines()
     full = np.searchsorted(text.starts, ends) > np.searchsorted(text.starts, starts)
     starts, ends = starts[full], ends[full]
     owner = np.searchsorted(text.offsets, starts, side="right") - 1

@@ -28,7 +28,7 @@ _NAMES = [x.split()[0] for x in _MEETING.split(", ")]
 def anchors(text: K.Text, length: int, k: int) -> list[np.ndarray]:
     """key, f, text number, first governed window, number of governed windows; one entry an anchor occurrence.
 
-    f hashes all words of the governed windows, with the anchor's place among them.
+    f hashes the first and the last governed window, which hold all its words, with the anchor's place among them.
     """
     text.split_words()
     words, first = text.word_hash(), text.first
@@ -51,8 +51,8 @@ def anchors(text: K.Text, length: int, k: int) -> list[np.ndarray]:
     at = np.flatnonzero(new)
     n = np.diff(np.append(at, len(start)))
     begin, place = start[at], anchor[at]
-    f = K.run_hash(words, begin, begin + n - 1 + length, 1)
-    f = K.mix(f ^ K.mix(((place - begin) * 1024 + n).astype(np.uint64)))
+    whole = K.windows(text.word_hash(which=1), first, length)[0]
+    f = K.joined(whole[at], whole[at + n - 1]) ^ K.mix(((place - begin) * 1024 + n).astype(np.uint64))
     return [spread[place], f, row[at], begin - first[row[at]], n]
 
 
@@ -184,7 +184,8 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, length: int = 20, k: int
                 order = np.lexsort((start, own))
                 own, start = own[order], start[order]
                 at = text.first[own] + start
-                one, two = (K.run_hash(text.word_hash(which=i), at, at + length, i) for i in (0, 1))
+                found = [K.windows(text.word_hash(which=i), text.first, length) for i in (0, 1)]
+                one, two = (value[np.searchsorted(place, at)] for value, place in found)
                 yield from held.add([one, two, rid[a + own], start, np.ones(len(own), np.int64)])
         yield from held.flush()
 
@@ -211,7 +212,7 @@ def _kept(batch: pa.RecordBatch, text: K.Text, length: int) -> pa.RecordBatch:
     gone = np.cumsum(steps[:-1]) > 0
     removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[text.first])
 
-    low, high = text._spans(~gone, text.first)
+    low, high = K.runs(total, lambda a, b: ~gone[a:b], text.first)
     own = np.searchsorted(text.first, low, side="right") - 1
     ends = np.bincount(own, minlength=text.n)
     spans = pa.ListArray.from_arrays(
