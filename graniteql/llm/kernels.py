@@ -26,8 +26,7 @@ _BLOCK = 1 << 20
 _GOLD = U64(0x9E3779B97F4A7C15)
 _TURN = U64(0xD6E8FEB86659FD93)
 _SEEDS = (np.array([0x243F6A8885A308D3], U64), np.array([0x13198A2E03707344], U64))
-#: Spans of up to so many eights of bytes are hashed side by side, longer ones one by one.
-_LEVELS = 64
+_SHORT = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -180,51 +179,82 @@ _REST = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0, lower: bool = False) -> np.ndarray:
     """64-bit hashes of byte spans in rising order; lower: as if A-Z were a-z."""
-    sums, at, n = np.zeros(len(starts), U64), 0, len(starts)
-    long = np.flatnonzero(ends - starts > 8 * _LEVELS)
-    for i in long.tolist():
-        sums[i] = _long_sum(data[starts[i] : ends[i]], which, lower)
-    stops = np.append(long, n)
+    sums, at, n = np.empty(len(starts), U64), 0, len(starts)
     while at < n:
-        to = min(int(stops[np.searchsorted(stops, at)]), max(at + 1, int(np.searchsorted(ends, starts[at] + _BLOCK, side="right"))))
-        if to > at:
-            low, high = int(starts[at]), int(ends[to - 1])
-            part = np.zeros(high - low + 8, np.uint8)
-            part[:-8] = _lower(data[low:high]) if lower else data[low:high]
-            _short_sums(part, starts[at:to] - low, ends[at:to] - low, which, sums[at:to])
-            at = to
+        to = int(np.searchsorted(ends, starts[at] + _BLOCK, side="right"))
+        if to <= at:
+            sums[at] = _long_sum(data[starts[at] : ends[at]], which, lower)
+            at += 1
+            continue
+        low, high = int(starts[at]), int(ends[to - 1])
+        part = np.zeros(high - low + 8, np.uint8)
+        part[:-8] = _lower(data[low:high]) if lower else data[low:high]
+        begin, size = starts[at:to] - low, ends[at:to] - starts[at:to]
+        short = size <= _SHORT
+        if short.all():
+            sums[at:to] = _short_sums(part, begin, size, which)
         else:
-            at += 1  # a long span
-    sums += (ends - starts).astype(U64) * _GOLD
-    return mix(sums)
+            sums[at + np.flatnonzero(short)] = _short_sums(part, begin[short], size[short], which)
+            sums[at + np.flatnonzero(~short)] = _sums(part, begin[~short], size[~short], which)
+        at = to
+    return mix(sums + (ends - starts).astype(U64) * _GOLD)
 
 
-def _short_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int, out: np.ndarray) -> None:
-    """Adds to ``out`` level by level, the first eight bytes of all spans, the next of those that have more, and so on."""
+def _short_sums(data: np.ndarray, at: np.ndarray, left: np.ndarray, which: int) -> np.ndarray:
+    """Eights of all spans side by side: the first of each, then the next of those that have more, and so on."""
     eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-    at, left, who, key = starts, ends - starts, None, _SEEDS[which].copy()
+    out, who, key = None, None, _SEEDS[which].copy()
     while True:
         x = eights[at]
         x &= _REST[np.minimum(left, 8)]
         x ^= key
         key += _GOLD
-        if who is None:
-            out += mix(x)
+        if out is None:
+            out = mix(x)
         else:
             out[who] += mix(x)
         more = np.flatnonzero(left > 8)
         if not len(more):
-            return
+            return out
         at, left, who = at[more] + 8, left[more] - 8, more if who is None else who[more]
 
 
-def same_spans(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether data[starts:starts + sizes] equals other[at:at + sizes], byte by byte, for each span."""
-    out = np.ones(len(starts), bool)
-    long = np.flatnonzero(sizes > 8 * _LEVELS)
-    for i in long.tolist():
+def _sums(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: int) -> np.ndarray:
+    """The same sums, with the eights of all spans in one array."""
+    eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    n = (sizes + 7) >> 3
+    first = np.cumsum(n) - n
+    place = np.arange(int(n.sum())) - np.repeat(first, n)
+    x = eights[np.repeat(starts, n) + (place << 3)]
+    x[first + n - 1] &= _REST[sizes - ((n - 1) << 3)]
+    key = place.view(U64)
+    key *= _GOLD
+    key += _SEEDS[which]
+    x ^= key
+    return np.add.reduceat(mix(x), first)
+
+
+def _long_sum(span: np.ndarray, which: int, lower: bool) -> np.uint64:
+    """The same sum of one span, block by block."""
+    total = np.zeros(1, U64)
+    for a in range(0, len(span), _BLOCK):
+        piece = span[a : a + _BLOCK]
+        x = np.zeros((len(piece) + 7) >> 3, U64)
+        x.view(np.uint8)[: len(piece)] = _lower(piece) if lower else piece
+        key = np.arange(a >> 3, (a >> 3) + len(x), dtype=U64)
+        key *= _GOLD
+        key += _SEEDS[which]
+        total += mix(x ^ key).sum()
+    return total[0]
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether data[starts:starts + sizes] equals other[at:at + lengths], byte by byte, for each span. Both arrays end
+    with seven bytes or more that are in no span."""
+    out = sizes == lengths
+    for i in np.flatnonzero(out & (sizes > 512)).tolist():
         out[i] = np.array_equal(data[starts[i] : starts[i] + sizes[i]], other[at[i] : at[i] + sizes[i]])
-    who = np.flatnonzero((sizes > 0) & (sizes <= 8 * _LEVELS))
+    who = np.flatnonzero(out & (sizes > 0) & (sizes <= 512))
     one, two = (np.ndarray((max(len(x) - 7, 0),), "<u8", x, strides=(1,)) for x in (data, other))
     a, b, left = starts[who], at[who], sizes[who]
     while len(who):

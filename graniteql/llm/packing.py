@@ -107,7 +107,7 @@ class WordTokenizer:
         hashes = text.word_hash()
         keys, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         # words that aren't what their hash stands for, and very long ones, are encoded singly
-        alone = ~K.same_spans(data, text.starts, sizes, data, text.starts[where][inverse]) | (sizes > _LONG)
+        alone = ~K.same_spans(data, text.starts, sizes, data, text.starts[where][inverse], sizes[where][inverse]) | (sizes > _LONG)
         if len(self.keys) > _CACHED:
             self._forget()
         spot = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
@@ -115,7 +115,7 @@ class WordTokenizer:
         self.again[spot[hit]] = True
         old = where[hit]
         right = np.ones(len(keys), bool)
-        right[hit] = (np.diff(self.place)[spot[hit]] == sizes[old]) & K.same_spans(data, text.starts[old], sizes[old], self.letters, self.place[spot[hit]])
+        right[hit] = K.same_spans(data, text.starts[old], sizes[old], self.letters, self.place[spot[hit]], np.diff(self.place)[spot[hit]])
         alone |= ~right[inverse]
         new = ~hit & (sizes[where] <= _LONG)
         if new.any():
