@@ -261,52 +261,103 @@ def test_sequences(spark):
 
 # --- LM scoring
 
-def test_katz(spark):
-    rows = documents(5, 80)
-    docs = {r[0]: [w.translate(LOWER) for w in words(r[1])] + ["</s>"] for r in rows}
-    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in docs}
-    uni, pairs = Counter(), defaultdict(Counter)
-    for d, ws in docs.items():
-        if not held[d]:
-            uni.update(ws)
-            for x, y in zip(["<s>", *ws], ws, strict=False):
-                pairs[x][y] += 1
-    n, v = sum(uni.values()), len(uni)
-    seen = lambda counts: [sum(c == i for c in counts) for i in range(1, 7)]
-    d1 = katz.discounts(seen(list(uni.values())))
-    d2 = katz.discounts(seen([c for x in pairs.values() for c in x.values()]))
-    unknown = sum(c * (1 - d1[c]) for c in uni.values() if c <= 5) / n
-
-    def p1(w):
-        return uni[w] * (d1[uni[w]] if uni[w] <= 5 else 1) / n if uni[w] else unknown
-
-    def p2(h, w):
-        c = pairs.get(h)
+class Brute:
+    """Katz's model by dictionaries; Good-Turing discounts written anew."""
+
+    def __init__(self, docs, held, order):
+        self.order, self.uni, self.after = order, Counter(), [defaultdict(Counter) for _ in range(order)]
+        for d, ws in docs.items():
+            if not held[d]:
+                self.uni.update(ws)
+                line = ["<s>"] * (order - 1) + ws
+                for i in range(order - 1, len(line)):
+                    for n in range(2, order + 1):
+                        self.after[n - 1][tuple(line[i - n + 1 : i])][line[i]] += 1
+        self.n = sum(self.uni.values())
+        self.d = [self.discount(list(self.uni.values()))] + [self.discount([c for x in self.after[n - 1].values() for c in x.values()]) for n in range(2, order + 1)]
+        self.unknown = sum(c * (1 - self.d[0][c]) for c in self.uni.values() if c <= 5) / self.n
+
+    @staticmethod
+    def discount(counts):
+        """d[r] = (r*/r - (k+1) n[k+1] / n[1]) / (1 - (k+1) n[k+1] / n[1]), r* = (r+1) n[r+1] / n[r], k = 5; where that is no factor, half a count."""
+        n = Counter(counts)
+        out = {}
+        for r in range(1, 6):
+            top = 6 * n[6] / n[1] if n[1] else 1
+            value = ((r + 1) * n[r + 1] / n[r] / r - top) / (1 - top) if n[r] and top != 1 else -1
+            if n[r] == 0 and top != 1:
+                value = (0 - top) / (1 - top)
+            out[r] = value if 0 < value < 1 else (r - 0.5) / r
+        return out
+
+    def p(self, h, w):
+        if not h:
+            return self.uni[w] * self.d[0].get(self.uni[w], 1) / self.n if self.uni[w] else self.unknown
+        c, d = self.after[len(h)].get(h), self.d[len(h)]
         if not c:
-            return p1(w)
-        freed = sum(x * (1 - d2[x]) for x in c.values() if x <= 5)
+            return self.p(h[1:], w)
+        freed = sum(x * (1 - d[x]) for x in c.values() if x <= 5)
         norm, freed = (sum(c.values()), freed) if freed > 0 else (sum(c.values()) + 1, 1)
         if c[w]:
-            return c[w] * (d2[c[w]] if c[w] <= 5 else 1) / norm
-        return freed / norm / (1 - sum(p1(x) for x in c)) * p1(w)
-
-    assert sum(map(p1, uni)) + unknown == pytest.approx(1)
-    h = max(pairs, key=lambda x: len(pairs[x]))
-    assert sum(p2(h, w) for w in [*uni, "never seen"]) == pytest.approx(1)
-    model = katz.score_documents(spark, clashing(frame(spark, rows)))
-    for r in model.collect():
+            return c[w] * d.get(c[w], 1) / norm
+        return freed / norm / (1 - sum(self.p(h[1:], x) for x in c)) * self.p(h[1:], w)
+
+
+@pytest.mark.parametrize(("order", "split"), [(2, 1 << 16), (3, 1 << 16), (3, 1), (4, 40)])
+def test_katz(spark, order, split):
+    rows = documents(5, 80)
+    rows = [r if r[0] != 1003 else (1003, " ".join(words(r[1])[:400]), *r[2:]) for r in rows if r[0] != 1004]  # brute force is slow
+    docs = {r[0]: [w.translate(LOWER) for w in words(r[1])] + ["</s>"] for r in rows}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in docs}
+    brute = Brute(docs, held, order)
+    v = len(brute.uni)
+    assert sum(brute.p((), w) for w in brute.uni) + brute.unknown == pytest.approx(1)
+    for n in range(2, order + 1):
+        for h in sorted(brute.after[n - 1], key=lambda x: -len(brute.after[n - 1][x]))[:3]:
+            assert sum(brute.p(h, w) for w in [*brute.uni, "never seen"]) == pytest.approx(1)
+    model = katz.KatzModel(spark, clashing(frame(spark, rows)), order=order, split=split)
+    for r in model.scores().collect():
         ws = docs[r["doc_id"]]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(ws), sum(uni[w] > 0 for w in ws), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in ws))
-        assert r["score"] == pytest.approx(sum(math.log10(p2(x, y)) for x, y in zip(["<s>", *ws], ws, strict=False)))
+        line = ["<s>"] * (order - 1) + ws
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(ws), sum(brute.uni[w] > 0 for w in ws), brute.n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((brute.uni[w] + 1) / (brute.n + v + 1)) for w in ws))
+        assert r["score"] == pytest.approx(sum(math.log10(brute.p(tuple(line[i : i + order - 1]), w)) for i, w in enumerate(ws)))
+
+
+def test_katz_counts_of_more_than_32_bits():
+    import numpy as np
+
+    big = 3 << 32
+    x = np.array([0, 5, big, (1 << 62) + 1])
+    assert katz.unpacked(katz.packed(x)).tolist() == x.tolist()
+    words = np.array([1, 7], np.uint64)
+    asks = [dict(block=b, p=0, a=words.tobytes(), b=katz.packed(np.array([big, 1 - b])), c=katz.flags(np.array([False, b == 1]))) for b in (0, 1)]
+    found = katz._count_words(katz._rows("block long, p int, a binary, b binary, c binary", asks)).to_pylist()
+    assert found[0]["tokens"] == 2 * big + 1 and katz.unpacked(found[1]["a"]).tolist() == [2 * big, 1]
+    one = katz.packed(np.array([2]))
+    asks = [dict(p=0, block=b, sure=0, ctx=katz.rising(np.array([9])), hot=katz.flags(np.array([False])), runs=one, succ=katz.packed(np.array([4, big])), cnt=katz.packed(np.array([big, 1])), held=katz.flags(np.array([False, False])), low=katz.packed(np.array([big, big]))) for b in (0, 1)]
+    found = katz._count_grams(katz._rows(katz._ASK, asks), katz.Level(np.ones(6)), True).to_pylist()
+    assert katz.unpacked(found[0]["d"]).tolist() == [2 * big, 2] and katz.unpacked(found[0]["c"]).tolist() == [4, big] and found[0]["r2"] == 1
+
+
+def test_katz_asks_a_row_a_block_and_partition(spark):
+    rows = documents(5, 200)
+    made = {}
+    for parts in (2, 4, 8):  # a task makes a block at least
+        model = katz.KatzModel(spark, frame(spark, rows, parts), order=2)
+        made[model.blocks.count()] = model.asks().count()
+    assert all(n <= blocks * model.n_parts for blocks, n in made.items()) and len(made) == 3
 
 
 def test_katz_hard(spark):
     rows = hard()
     found = katz.score_documents(spark, frame(spark, rows)).collect()
     assert len(found) == len(rows) and all(math.isfinite(r["score"]) for r in found)
-    alone = katz.score_documents(spark, frame(spark, [(5, "a b", "en", "s", 1)])).collect()
-    assert len(alone) == 1 and math.isfinite(alone[0]["score"])
+    for order in (1, 2, 3):
+        alone = katz.score_documents(spark, frame(spark, [(5, "a b", "en", "s", 1)]), order=order).collect()
+        assert len(alone) == 1 and math.isfinite(alone[0]["score"])
+    unseen = katz.score_documents(spark, frame(spark, [(18, "a b a b", "en", "s", 1)])).collect()  # held out
+    assert unseen[0]["train_tokens"] == 0 and unseen[0]["score"] == 0
 
 
 # --- near duplicates
