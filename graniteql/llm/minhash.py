@@ -5,12 +5,15 @@ sampling, whose samples of two texts agree with the probability of their weighte
 samples make buckets; texts are compared with the least of their bucket exactly, then those that failed with the
 others near enough, and documents with links make up classes.
 
-* Document frequencies count all documents, in a hashed table of fixed size (so its broadcast is bounded).
+* Document frequencies count all documents. Shingles that too few of them hold weigh 1, by a share of all, so weights
+  don't depend on the size of the corpus; those above it, 2**20 at most whatever the corpus, are counted exactly.
 * Equal word sequences are one class before anything else, so copies cost one row each.
 * A bucket gives one pair a member, with its least member; weighted Jaccard distance is a metric, so of those
-  that failed only texts whose distance to the least differs by 0.2 or less can be linked. These are compared by
-  signature in their bucket, the likeliest pairs first. A large bucket is dealt in pairs of blocks over tasks, so that
-  each such pair meets once, whatever the size of the bucket.
+  that failed only texts whose distance to the least differs by 0.2 or less can be linked.
+* Each of those that failed is a pivot once, and all of its bucket that it may be linked to are compared with it,
+  exactly. Pivots come in rounds of growing numbers, and members that have come to one class by then need no more, so
+  all rounds together are needed only where a bucket's texts aren't linked. Members and pivots travel in blocks, never
+  as pairs.
 """
 
 from __future__ import annotations
@@ -29,14 +32,16 @@ from .scratch import Scratch, likely_rows, partitions, with_ids, without
 
 _BITS = 22
 _PIECES = 1024
+_FREQUENT = 1 << 20
 _DRAWS = 1 << 17
-_ROUNDS = (0, 8, None)
-_LARGE = 512
+_FIRST_PIVOTS = 32
+#: Pivots and members of a bucket that meet in one task.
+_PIVOTS, _MEMBERS = 512, 1024
 
 
 @dataclass(frozen=True)
 class Settings:
-    """idf runs from idf_floor (a shingle of all documents) to 1 (of one document): with a high floor a group's
+    """idf runs from idf_floor (a shingle of all documents) to 1 (of few documents): with a high floor a group's
     size hardly changes whether its members are alike."""
 
     words: int = 5
@@ -44,7 +49,6 @@ class Settings:
     bands: int = 20
     rows: int = 5
     idf_floor: float = 0.85
-    doubt: float = 0.165
 
 
 def entries(text: K.Text, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,48 +74,107 @@ def _slot(value: np.ndarray) -> np.ndarray:
     return (value >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
-def shingle_frequencies(spark: SparkSession, rows: DataFrame, words: int) -> np.ndarray:
-    """How many documents hold a shingle of each of 2**22 hash slots. Each task sums up its documents; pieces of
-    the tasks' tables are summed in a stream, and the driver gets one table of fixed size."""
+class Idf:
+    """Weights of the frequent shingles; all others weigh 1."""
+
+    def __init__(self, shingles: np.ndarray, frequency: np.ndarray, documents: int, least: int, floor: float):
+        order = np.argsort(shingles)
+        self.shingles = shingles[order]
+        share = np.log(documents / np.clip(frequency[order], 1, documents)) / np.log(documents / least) if documents > least else np.ones(len(order))
+        self.weight = (floor + (1 - floor) * np.minimum(share, 1)).astype(np.float32)
+        self.slots: np.ndarray | None = None
+
+    def of(self, value: np.ndarray) -> np.ndarray:
+        if self.slots is None:  # not a part of what is broadcast
+            self.slots = np.zeros(1 << _BITS, bool)
+            self.slots[_slot(self.shingles)] = True
+        out = np.ones(len(value), np.float32)
+        maybe = np.flatnonzero(self.slots[_slot(value)])
+        if len(maybe):
+            spot = np.minimum(np.searchsorted(self.shingles, value[maybe]), len(self.shingles) - 1)
+            hit = self.shingles[spot] == value[maybe]
+            out[maybe[hit]] = self.weight[spot[hit]]
+        return out
+
+
+def idf(spark: SparkSession, rows: DataFrame, s: Settings, scratch: Scratch) -> Idf:
+    """Counts shingles in two passes over all texts. The first sums up 2**22 hash slots; ``least`` is a 2**20th of
+    what all documents hold, so 2**20 shingles at most occur in as many, all of them in slots that have as much. The
+    second counts the shingles of those slots one by one. The driver gets the slots' numbers, then the frequent
+    shingles."""
     width = (1 << _BITS) // _PIECES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << _BITS, np.uint32)
+        table, n = np.zeros(1 << _BITS, np.uint32), 0
         for batch in batches:
+            n += batch.num_rows
             for _, _, text in K.Text.of(batch.column(0)):
-                np.add.at(table, _slot(entries(text, words)[1]), np.uint32(1))
-        if table.any():
+                np.add.at(table, _slot(entries(text, s.words)[1]), np.uint32(1))
+        if n:
             pieces = [pa.compress(table[i : i + width].tobytes(), "zstd", asbytes=True) for i in range(0, len(table), width)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(_PIECES, dtype=np.int32)), pa.array(pieces, pa.binary())], ["piece", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(_PIECES, dtype=np.int32)), pa.array(pieces, pa.binary()), pa.array([n] + [0] * (_PIECES - 1), pa.int64())], ["piece", "counts", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, np.zeros(width, np.int64)
+        now, total, n = None, np.zeros(width, np.int64), 0
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64()), pa.array([int(total.sum())])], ["piece", "counts", "n", "mass"])
         for batch in batches:
-            for piece, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for piece, packed, more in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if piece != now and now is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["piece", "counts"])
-                    total[:] = 0
+                    yield done()
+                    total, n = np.zeros(width, np.int64), 0
                 now = piece
+                n += more
                 total += np.frombuffer(pa.decompress(packed, 4 * width, "zstd", asbytes=True), np.uint32)
         if now is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["piece", "counts"])
+            yield done()
 
-    schema = "piece int, counts binary"
-    parts = rows.select("text").mapInArrow(count, schema).repartition(partitions(spark), "piece").sortWithinPartitions("piece").mapInArrow(add, schema)
-    out = np.zeros(1 << _BITS, np.int64)
-    for piece, counts in parts.toLocalIterator():
-        out[piece * width : (piece + 1) * width] = np.frombuffer(counts, np.int64)
-    return out
+    parts = rows.select("text").mapInArrow(count, "piece int, counts binary, n long").repartition(partitions(spark), "piece").sortWithinPartitions("piece")
+    parts = scratch.write(parts.mapInArrow(add, "piece int, counts binary, n long, mass long"), "slots")
+    sums = parts.agg(F.sum("n").alias("n"), F.sum("mass").alias("mass")).first()
+    documents, least = sums["n"] or 0, max(1, -(-(sums["mass"] or 0) // _FREQUENT))
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [p * width + np.flatnonzero(np.frombuffer(c, np.int64) >= least) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int32))], ["slot"])
+
+    marked = np.zeros(1 << _BITS, bool)
+    marked[parts.select("piece", "counts").mapInArrow(full, "slot int").toArrow().column(0).to_numpy()] = True
+    scratch.drop("slots")
+    if not marked.any():
+        return Idf(np.zeros(0, np.uint64), np.zeros(0, np.int64), documents, least, s.idf_floor)
+    sent = spark.sparkContext.broadcast(np.packbits(marked))
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, size = np.unpackbits(sent.value).astype(bool), [], 0
+        for batch in batches:
+            for _, _, text in K.Text.of(batch.column(0)):
+                value = entries(text, s.words)[1]
+                held.append(np.unique(value[here[_slot(value)]], return_counts=True))
+                size += len(held[-1][0])
+                if size > 1 << 20:
+                    held, size = [_summed(held)], 0
+                    if len(held[0][0]) > 1 << 19:
+                        yield _counted(held.pop())
+        if held:
+            yield _counted(_summed(held))
 
+    counts = rows.select("text").mapInArrow(single, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    table = counts.toArrow()
+    return Idf(table.column("shingle").to_numpy().view(np.uint64), table.column("n").to_numpy(), documents, least, s.idf_floor)
 
-def idf_table(frequency: np.ndarray, documents: int, floor: float) -> np.ndarray:
-    spread = np.log(np.maximum(documents, 2))
-    share = np.log(np.maximum(documents, 2) / np.clip(frequency, 1, max(documents, 2))) / spread
-    return (floor + (1 - floor) * share).astype(np.float32)
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    value, at = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+    return value, np.bincount(at, np.concatenate([x[1] for x in parts]), len(value)).astype(np.int64)
 
-def weights(value: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return (1 + np.log(count.astype(np.float32))) * idf[_slot(value)]
+
+def _counted(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(K.signed(found[0])), pa.array(found[1].astype(np.int64))], ["shingle", "n"])
+
+
+def weights(value: np.ndarray, count: np.ndarray, idf: Idf) -> np.ndarray:
+    return (1 + np.log(count.astype(np.float32))) * idf.of(value)
 
 
 _TABLES: list[np.ndarray] = []
@@ -181,7 +244,7 @@ def _sign(rows: DataFrame, idf, s: Settings) -> DataFrame:
     return rows.select("rid", "text").mapInArrow(step, "rid long, f1 long, f2 long, size long, sig binary")
 
 
-def verify(spark: SparkSession, rows: DataFrame, pairs: DataFrame, idf, s: Settings, scratch: Scratch, name: str, per_task: int = 512) -> DataFrame:
+def verify(spark: SparkSession, rows: DataFrame, pairs: DataFrame, table, s: Settings, scratch: Scratch, name: str, per_task: int = 512) -> DataFrame:
     """(a, b) -> (a, b, sim), the exact weighted Jaccard similarity. Texts travel to b, at most ``per_task`` members
     with one copy of b's text; a frequent b is split over as many tasks as it needs. The requests for texts are
     written under ``name``, as they are used twice."""
@@ -198,8 +261,7 @@ def verify(spark: SparkSession, rows: DataFrame, pairs: DataFrame, idf, s: Setti
             rid, b, kind = (batch.column(c).to_numpy() for c in ("rid", "b", "kind"))
             found_a, found_b, found_sim = [], [], []
             for i0, _, text in K.Text.of(batch.column("text")):
-                own, value, count = entries(text, s.words)
-                weight = weights(value, count, idf.value).astype(np.float64)
+                own, value, weight = _bags(text, table.value, s)
                 cut = np.searchsorted(own, np.arange(text.n + 1))
                 for i in range(text.n):
                     v, w = value[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]]
@@ -217,85 +279,122 @@ def verify(spark: SparkSession, rows: DataFrame, pairs: DataFrame, idf, s: Setti
     return sorted_rows.mapInArrow(step, "a long, b long, sim double")
 
 
-def _likely(rows: DataFrame, n: int, s: Settings) -> DataFrame:
-    """Of members of one bucket with different roots: pairs (a, b, rank) whose signatures agree nearly as often as
-    the threshold asks and whose distances to the least allow a link; rank: place among a's partners by likeness.
-
-    A pair is told in the bucket of its first common band only. Rows of one key with ``side`` 0 are compared with each
-    other; where a key has sides 1 and 2, these are two blocks of a bucket, and the one is compared with the other.
-    """
-    least, k = s.threshold - s.doubt, s.bands * s.rows
-
-    def group(rid: np.ndarray, root: np.ndarray, sim: np.ndarray, side: np.ndarray, band: int, sig: list[bytes]) -> pa.RecordBatch | None:
-        m = np.frombuffer(b"".join(sig), np.uint32).reshape(len(rid), k)
-        out: list[np.ndarray] = []
-        step = max(1, (1 << 22) // max(1, len(rid) * k))
-        for i in range(0, len(rid), step):
-            j = slice(i, i + step)
-            alike = (m[j, None, :] == m[None, :, :]).sum(2)
-            ok = (alike >= least * k) & ((side[j, None] == 0) | (side[j, None] != side[None, :])) & (root[j, None] != root[None, :]) & (np.abs(sim[j, None] - sim[None, :]) <= 1 - s.threshold + 1e-9)
-            x, y = np.nonzero(ok)
-            common = (m[i + x] == m[y]).reshape(len(x), s.bands, s.rows).all(2)
-            told = common.argmax(1) == band
-            x, y = x[told], y[told]
-            order = np.lexsort((rid[y], -alike[x, y], x))
-            x, y = x[order], y[order]
-            rank = np.arange(len(x)) - np.searchsorted(x, x)
-            out.append(np.stack([rid[i + x], rid[y], rank]))
-        a, b, rank = np.concatenate(out, axis=1)
-        # each pair is found from both sides; the better rank counts
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        order = np.lexsort((rank, low, high))
-        low, high, rank = low[order], high[order], rank[order]
-        new = np.ones(len(low), bool)
-        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-        if not len(low):
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(high[new]), pa.array(low[new]), pa.array(rank[new])], ["a", "b", "rank"])
+class _Pivots:
+    """Of one bucket's block the pivots, and the classes that pivots and members have come to."""
+
+    def __init__(self, rows: pa.Table, bags: list[tuple[np.ndarray, np.ndarray]], s: Settings):
+        self.s, self.rid, self.root, self.sim = s, *(rows.column(c).to_numpy() for c in ("rid", "root", "sim"))
+        self.root = self.root.copy()
+        self.band = rows.column("band")[0].as_py()
+        self.sig = _samples(rows.column("sig"), s)
+        self.words = np.unique(np.concatenate([v for v, _ in bags]))
+        self.bags = [(np.searchsorted(self.words, v), w) for v, w in bags]
+        self.total = np.array([w.sum() for _, w in bags])
+        self.dense = np.zeros(len(self.words))
+        self.merged: dict[int, int] = {}
+
+    def _now(self, root: np.ndarray) -> np.ndarray:
+        names, at = np.unique(root, return_inverse=True)
+        out = names.copy()
+        for i, x in enumerate(names.tolist()):
+            while x in self.merged:
+                x = self.merged[x]
+            out[i] = x
+        return out[at]
+
+    def links(self, rows: pa.RecordBatch, own: np.ndarray, value: np.ndarray, weight: np.ndarray) -> tuple[list[int], list[int]]:
+        """Pairs (member, pivot) that are linked, as many as bring classes together."""
+        rid, sim, pivot = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "sim", "pivot"))
+        root, sig, n = self._now(rows.column("root").to_numpy()), _samples(rows.column("sig"), self.s), rows.num_rows
+        total = np.bincount(own, weight, n)
+        spot = np.minimum(np.searchsorted(self.words, value), len(self.words) - 1)
+        both = self.words[spot] == value
+        spot, weight, own = spot[both], weight[both], own[both]
+        cut = np.searchsorted(own, np.arange(n + 1))
+        a, b = [], []
+        for j, (words, w) in enumerate(self.bags):
+            # a pair is told in the bucket of its first common band, and of two pivots once
+            told = (sig == self.sig[j]).all(2).argmax(1) == self.band
+            near = np.abs(sim - self.sim[j]) <= 1 - self.s.threshold + 1e-9
+            x = np.flatnonzero(told & near & (root != self.root[j]) & (~pivot | (rid > self.rid[j])))
+            if not len(x):
+                continue
+            self.dense[words] = w
+            size = cut[x + 1] - cut[x]
+            at = np.repeat(cut[x] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            low = np.bincount(np.repeat(np.arange(len(x)), size), np.minimum(weight[at], self.dense[spot[at]]), len(x))
+            self.dense[words] = 0
+            x = x[low / np.maximum(total[x] + self.total[j] - low, 1e-300) >= self.s.threshold]
+            if not len(x):
+                continue
+            names, first = np.unique(root[x], return_index=True)
+            a += rid[x[first]].tolist()
+            b += [int(self.rid[j])] * len(first)
+            names = np.append(names, self.root[j])
+            new = names.min()
+            self.merged |= {int(y): int(new) for y in names if y != new}
+            root[np.isin(root, names)] = new
+            self.root[np.isin(self.root, names)] = new
+        return a, b
+
+
+def _samples(column: pa.Array, s: Settings) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, s.bands, s.rows)
+
+
+def _bags(text: K.Text, idf: Idf, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    own, value, count = entries(text, s.words)
+    return own, value, weights(value, count, idf).astype(np.float64)
+
+
+def _linked(rows: DataFrame, n: int, idf, s: Settings) -> DataFrame:
+    """Rows (key, way, kind, rid, root, sim, pivot, band, sig, text), pivots kind 0, members kind 1 -> (a, b), links."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, heads, bags, pivots = None, [], [], None
         for batch in batches:
-            keys = batch.column("key").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                if i == j:
-                    continue
-                if keys[i] != now:
-                    if (r := _flush(held, group)) is not None:
-                        yield r
-                    now, held = keys[i], []
-                held.append(batch.slice(i, j - i))
-        if (r := _flush(held, group)) is not None:
-            yield r
-
-    dealt = rows.select("key", "rid", "root", "sim", "side", "band", "sig").repartition(n, "key").sortWithinPartitions("key", "rid")
-    return dealt.mapInArrow(step, "a long, b long, rank long")
-
-
-def _flush(held: list, group) -> pa.RecordBatch | None:
-    if not held:
-        return None
-    t = pa.Table.from_batches(held)
-    if t.num_rows < 2:
-        return None
-    return group(*(t.column(c).to_numpy() for c in ("rid", "root", "sim", "side")), t.column("band")[0].as_py(), t.column("sig").to_pylist())
-
-
-def _deal(rows: DataFrame, s: Settings) -> DataFrame:
-    """A row (key, side) for each comparison a member takes part in. Of ``m`` members of a bucket ``f`` failed against
-    its least; the others are linked with it, and so with each other. Where m is large, failed and linked ones are dealt
-    into blocks, and every block of failed ones meets itself and every other block."""
-    blocks = lambda n: F.ceil(n / _LARGE).cast("int")
-    rows = rows.withColumn("bf", blocks(F.col("f"))).withColumn("bl", blocks(F.col("m") - F.col("f")))
-    own = F.when(F.col("sim") < s.threshold, F.pmod(F.xxhash64("rid"), F.col("bf"))).otherwise(F.col("bf") + F.pmod(F.xxhash64("rid"), F.col("bl"))).cast("int")
-    rows = rows.withColumn("own", own).withColumn("last", F.when(F.col("own") < F.col("bf"), F.col("bf") + F.col("bl")).otherwise(F.col("bf")) - 1)
-    meet = lambda x: F.struct(
-        F.xxhash64("key", F.least("own", x), F.greatest("own", x)).alias("key"), F.when(x == F.col("own"), 0).when(F.col("own") < x, 1).otherwise(2).alias("side")
-    )
-    whole = F.array(F.struct(F.col("key").alias("key"), F.lit(0).alias("side")))
-    met = F.when(F.col("m") > _LARGE, F.transform(F.sequence(F.lit(0), F.col("last")), meet)).otherwise(whole)
-    return rows.withColumn("x", F.explode(met)).select("rid", "root", "sig", "band", "sim", "x.*")
+            key, way, kind = (batch.column(c).to_numpy() for c in ("key", "way", "kind"))
+            for i0, i1, text in K.Text.of(batch.column("text")):
+                own, value, weight = _bags(text, idf.value, s)
+                cuts = [i0, *(i0 + 1 + np.flatnonzero((np.diff(key[i0:i1]) != 0) | (np.diff(way[i0:i1]) != 0) | (np.diff(kind[i0:i1]) != 0))).tolist(), i1]
+                for i, j in zip(cuts, cuts[1:], strict=False):
+                    part, group = batch.slice(i, j - i), (key[i], way[i])
+                    x, y = np.searchsorted(own, [i - i0, j - i0])
+                    if group != now:
+                        now, heads, bags, pivots = group, [], [], None
+                    if kind[i] == 0:
+                        at = np.searchsorted(own, np.arange(i - i0, j - i0 + 1))
+                        heads.append(part.drop_columns(["text"]))
+                        bags += [(value[u:v].copy(), weight[u:v].copy()) for u, v in zip(at[:-1], at[1:], strict=True)]
+                        continue
+                    if heads and pivots is None:
+                        pivots = _Pivots(pa.Table.from_batches(heads), bags, s)
+                    if pivots is not None:
+                        a, b = pivots.links(part, own[x:y] - (i - i0), value[x:y], weight[x:y])
+                        if a:
+                            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    names = ["key", "way", "kind", "rid", "root", "sim", "pivot", "band", "sig", "text"]
+    dealt = rows.select(*names).repartition(n, "key", "way").sortWithinPartitions("key", "way", "kind", "rid")
+    return dealt.mapInArrow(step, "a long, b long")
+
+
+def _round(open_: DataFrame, low: int, high: int, s: Settings) -> DataFrame:
+    """(rid, key, band, sim, root, m, f) -> rows (rid, ..., way, kind, pivot) of the pivots from number ``low`` to
+    ``high`` and those they are to be compared with. Of the ``f`` members of a bucket that failed each has a place
+    below f by hash; those before ``low`` have been compared with all. Pivots are dealt into blocks, and so are
+    members; each block of the ones meets each of the others."""
+    place = F.when(F.col("sim") < s.threshold, F.pmod(F.xxhash64("key", "rid"), F.lit(1 << 30)) * F.col("f") / float(1 << 30))
+    rows = open_.withColumn("place", place).filter((F.col("f") > low) & (F.col("place").isNull() | (F.col("place") >= low)))
+    rows = rows.withColumn("pivot", F.coalesce(F.col("place") < high, F.lit(False)))
+    groups = F.ceil((F.least("f", F.lit(high)) - low) / _PIVOTS).cast("int")
+    ways = F.ceil(F.col("m") / _MEMBERS).cast("int")
+    rows = rows.withColumn("groups", groups).withColumn("ways", ways)
+    spread = F.xxhash64("rid", "key", F.lit(7))
+    member = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda g: F.struct((g * F.col("ways") + F.pmod(spread, F.col("ways"))).cast("int").alias("way"), F.lit(1).alias("kind")))
+    block = F.floor((F.col("place") - low) / ((F.least("f", F.lit(high)) - low) / F.col("groups"))).cast("int")
+    pivot = F.transform(F.sequence(F.lit(0), F.col("ways") - 1), lambda w: F.struct((F.least(block, F.col("groups") - 1) * F.col("ways") + w).cast("int").alias("way"), F.lit(0).alias("kind")))
+    return rows.withColumn("meets", F.when(F.col("pivot"), F.concat(member, pivot)).otherwise(member)).drop("groups", "ways", "place", "f", "m")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id") -> DataFrame:
@@ -304,16 +403,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, s: Settings = Settings
     A class is a component of the links between texts of similarity ``threshold`` or more. Words are lower-cased
     (A-Z). Texts of equal words are always linked, so all texts without a word (nulls too) are one class. Null ids
     come last; rows that share an id are documents of their own. Extra columns are ignored; an empty table gives an
-    empty one. A link is missed if no band of the two signatures agrees (once in 2,700 at similarity 0.8, never
-    in practice above 0.85), or if both failed against their bucket's least and fewer than 64 of 100 samples of
-    their signatures agree (once in 16,000 at 0.8, once in 360,000 at 0.825).
+    empty one. A link is missed only if no band of the two signatures agrees: once in 2,700 at similarity 0.8, never
+    in practice above 0.85; all texts that share a band are compared exactly, in buckets of any size.
     """
     scratch = Scratch(spark, "minhash")
     rows = with_ids(spark, docs, id_col, ["text"], scratch)
-    frequency = shingle_frequencies(spark, rows, s.words)
-    documents = rows.count()
-    idf = spark.sparkContext.broadcast(idf_table(frequency, documents, s.idf_floor))
-    signed = scratch.write(_sign(rows, idf, s), "signed")
+    table = spark.sparkContext.broadcast(idf(spark, rows, s, scratch))
+    signed = scratch.write(_sign(rows, table, s), "signed")
 
     # equal word sequences: the least id stands for all
     same = signed.groupBy("f1", "f2").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"))
@@ -327,7 +423,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, s: Settings = Settings
     members = scratch.write(banded.join(buckets, "key"), "members")
 
     pairs = scratch.write(members.filter("rid <> head").select(F.col("rid").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
-    sims = scratch.write(verify(spark, rows, pairs, idf, s, scratch, "asked"), "sims")
+    sims = scratch.write(verify(spark, rows, pairs, table, s, scratch, "asked"), "sims")
     links = sims.filter(F.col("sim") >= s.threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = components(spark, links, scratch)
 
@@ -336,24 +432,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, s: Settings = Settings
     placed = placed.withColumn("sim", F.when(F.col("rid") == F.col("head"), F.lit(1.0)).otherwise(F.col("sim")))
     failed = placed.filter(F.col("sim") < s.threshold).groupBy("key").agg(F.max("sim").alias("best"))
     open_ = placed.join(failed, "key").filter(F.col("sim") <= F.col("best") + (1 - s.threshold) + 1e-9)
-    open_ = open_.join(roots, open_["rid"] == roots["node"], "left").withColumn("root", F.coalesce("root", "rid"))
-    open_ = scratch.write(open_.select("rid", "root", "key", "band", "sim"), "open")
-    sizes = open_.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), F.count_if(F.col("sim") < s.threshold).alias("f")).filter("m > 1 and low <> high")
-    asked = open_.join(sizes.select("key", "m", "f"), "key").groupBy("rid", "root").agg(F.collect_list(F.struct("key", "band", "sim", "m", "f")).alias("asked"))
-    asked = asked.join(reps, "rid").select("rid", "root", "sig", F.explode("asked").alias("x")).select("rid", "root", "sig", "x.*")
-    likely = scratch.write(_likely(_deal(asked, s), partitions(spark), s), "likely")
-    for k, (low, high) in enumerate(zip(_ROUNDS, _ROUNDS[1:], strict=False)):
-        now = likely.filter(F.col("rank") >= low) if high is None else likely.filter(F.col("rank").between(low, high - 1))
-        for side in ("a", "b"):
-            tied = roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-            now = now.join(tied, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-        now = scratch.write(now.filter("root_a <> root_b").select("a", "b").join(sims.select("a", "b"), ["a", "b"], "left_anti"), f"round{k}")
+    sizes = open_.groupBy("key").agg(F.count("*").alias("m"), F.count_if(F.col("sim") < s.threshold).alias("f")).filter("m > 1")
+    open_ = scratch.write(open_.join(sizes, "key").select("rid", "key", "band", "sim", "m", "f"), "open")
+    low, high, most = 0, _FIRST_PIVOTS, open_.agg(F.max("f")).first()[0] or 0
+    while low < most:
+        now = open_.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+        split = now.filter(F.col("f") > low).groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("two")).filter("one <> two")
+        now = scratch.write(_round(now.join(split.select("key"), "key"), low, high, s), f"round{low}")
         if now.isEmpty():
-            continue
-        found = scratch.write(verify(spark, rows, now, idf, s, scratch, f"asked{k}").filter(F.col("sim") >= s.threshold), f"found{k}")
+            break
+        # each text is fetched once, then goes to where its buckets meet
+        asked = now.groupBy("rid", "root").agg(F.collect_list(F.struct("key", "band", "sim", "pivot", "meets")).alias("asked"))
+        asked = asked.join(reps, "rid").join(likely_rows(rows.select("rid", "text"), asked), "rid").select("rid", "root", "sig", "text", F.explode("asked").alias("x"))
+        asked = asked.select("rid", "root", "sig", "text", "x.*").withColumn("meet", F.explode("meets")).select("*", "meet.way", "meet.kind")
+        found = scratch.write(_linked(asked, partitions(spark), table, s), f"found{low}")
         if not found.isEmpty():
             ties = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-            roots = components(spark, ties.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v"))), scratch, f"stars{k}_")
+            roots = components(spark, ties.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v"))), scratch, f"stars{low}_")
+        low, high = high, high + 4 * (high - low)
 
     named = same.join(roots, same["rep"] == roots["node"], "left").select("f1", "f2", F.coalesce("root", "rep").alias("class_rid"), "copies")
     counted = named.groupBy("class_rid").agg(F.sum("copies").alias("class_size"))

@@ -405,61 +405,123 @@ def test_near_duplicates_link_past_the_least(spark):
     assert {x["class_id"] for x in found.values()} == {0}
 
 
-def test_near_duplicates_in_a_large_bucket(spark):
-    """Pairs whose only common band is that of a bucket of over 512 open members, against brute force."""
-    import random
-
+def bags(texts, s):
+    """Shingle weights of each text, their frequencies counted over all; and the signatures."""
     import numpy as np
     import pyarrow as pa
 
     from graniteql.llm.kernels import Text
 
-    r = random.Random(6)
-    base = [f"b{i}" for i in range(80)]
-    texts = [" ".join(base)]
-    for i in range(500):  # pairs that are alike, all others aren't
-        at = r.randrange(8, 68)
-        near = base[:at] + [f"n{i}_{j}" for j in range(5)] + base[at + 5 :]
-        texts += [" ".join(near), " ".join(near[:-1] + ["end"])]
-    s = minhash.Settings(bands=1, rows=1, doubt=0.8)
     (_, _, text), = Text.of(pa.array(texts), 1 << 30)
     own, value, count = minhash.entries(text, s.words)
-    frequency = np.bincount(minhash._slot(value), minlength=1 << 22)
-    weight = minhash.weights(value, count, minhash.idf_table(frequency, len(texts), s.idf_floor))
-    sig = minhash.signatures(own, value, weight, len(texts), 1)[:, 0]
-    bags = [dict(zip(value[own == i].tolist(), weight[own == i].tolist(), strict=True)) for i in range(len(texts))]
-    root = list(range(len(texts)))
+    shingles, frequency = np.unique(value, return_counts=True)
+    assert len(value) < minhash._FREQUENT  # so all are counted
+    idf = minhash.Idf(shingles, frequency, len(texts), 1, s.idf_floor)
+    plain = dict(zip(shingles.tolist(), frequency.tolist(), strict=True))
+    weight = [(1 + math.log(c)) * (s.idf_floor + (1 - s.idf_floor) * math.log(len(texts) / plain[v]) / math.log(len(texts))) for v, c in zip(value.tolist(), count.tolist(), strict=True)]
+    assert weight == pytest.approx(minhash.weights(value, count, idf), rel=1e-5)
+    cut = np.searchsorted(own, np.arange(len(texts) + 1)).tolist()
+    sig = minhash.signatures(own, value, np.array(weight, np.float32), len(texts), s.bands * s.rows)
+    return [dict(zip(value[i:j].tolist(), weight[i:j], strict=True)) for i, j in zip(cut, cut[1:], strict=False)], sig.reshape(len(texts), s.bands, s.rows)
+
+
+def alike(x, y):
+    low = sum(min(w, y[v]) for v, w in x.items() if v in y)
+    return low / (sum(x.values()) + sum(y.values()) - low)
+
+
+def classes(n, links):
+    root = list(range(n))
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for i in range(len(texts)):
-        for j in range(i):
-            if sig[i] == sig[j]:
-                low = sum(min(w, bags[j][v]) for v, w in bags[i].items() if v in bags[j])
-                if low >= s.threshold * (sum(bags[i].values()) + sum(bags[j].values()) - low):
-                    root[max(find(i), find(j))] = min(find(i), find(j))
-    expected = {i: find(i) for i in range(len(texts))}
-    failed = sum(sig[i] == sig[0] and expected[i] != 0 for i in expected)
+    for i, j in links:
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: find(i) for i in range(n)}
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_near_duplicates_in_a_large_bucket(spark, monkeypatch, blocks):
+    """Pairs whose only common band is that of a bucket of over 512 open members, against brute force."""
+    import random
+
+    if blocks:  # many rounds, and many blocks of pivots and members in each
+        monkeypatch.setattr(minhash, "_FIRST_PIVOTS", 16)
+        monkeypatch.setattr(minhash, "_PIVOTS", 60)
+        monkeypatch.setattr(minhash, "_MEMBERS", 200)
+    r = random.Random(6)
+    base = [f"b{i}" for i in range(80)]
+    texts = [" ".join(base)]
+    for i in range(500):  # pairs that are alike, all others aren't
+        at = r.randrange(8, 68)
+        near = base[:at] + [f"n{i}_{j}" for j in range(5)] + base[at + 5 :]
+        texts += [" ".join(near), " ".join(near[:-1] + ["end"])]
+    s = minhash.Settings(bands=1, rows=1)
+    found, sig = bags(texts, s)
+    expected = classes(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if sig[i, 0, 0] == sig[j, 0, 0] and alike(found[i], found[j]) >= s.threshold])
+    failed = sum(sig[i, 0, 0] == sig[0, 0, 0] and expected[i] != 0 for i in expected)
     assert failed > 512 and len(set(expected.values())) < len(texts) - 200
-    found = minhash.near_duplicates(spark, frame(spark, [(i, x, "en", "s", 1) for i, x in enumerate(texts)]), s).collect()
-    assert {x["doc_id"]: x["class_id"] for x in found} == expected
+    out = minhash.near_duplicates(spark, frame(spark, [(i, x, "en", "s", 1) for i, x in enumerate(texts)]), s).collect()
+    assert {x["doc_id"]: x["class_id"] for x in out} == expected
 
 
-def test_signatures_may_fall_short_by_three_deviations(spark):
-    """Of 100 samples of texts of similarity 0.8, 68 or fewer agree once in 400; such a pair is still verified."""
-    import numpy as np
+def test_near_duplicates_against_all_pairs(spark):
+    """All pairs' weighted Jaccard similarity: classes are the components of those at 0.8 or more, and of the pairs by
+    themselves at 0.80-0.85, 0.85-0.9 and above nearly all are found (README has the figures)."""
+    import random
 
+    r = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    texts = []
+    for i in range(300):  # pairs by themselves, of all degrees of likeness
+        ws = [r.choice(vocabulary) for _ in range(r.choice([60, 120, 240]))]
+        copy = list(ws)
+        for _ in range(1 + int(len(ws) * r.random() * 0.03)):
+            copy[r.randrange(len(copy))] = f"x{i}"
+        texts += [" ".join(ws), " ".join(copy)]
+    base = [r.choice(vocabulary) for _ in range(200)]
+    for i in range(150):  # a group whose members are around 0.8 to each other, some above, some below
+        ws = list(base)
+        for _ in range(r.choice([1, 2, 4, 5])):
+            ws[r.randrange(len(ws))] = f"g{i}"
+        texts.append(" ".join(ws))
     s = minhash.Settings()
-    k = s.bands * s.rows
-    short = int(k * s.threshold - 3 * (k * s.threshold * (1 - s.threshold)) ** 0.5)
-    one = np.arange(k, dtype=np.uint32)
-    other = np.where(np.arange(k) < short, one, one + np.uint32(1000)).astype(np.uint32)
-    rows = [(1, i, i, 0.7, 0, 0, bytearray(x.tobytes())) for i, x in enumerate((one, other))]
-    rows = spark.createDataFrame(rows, "key long, rid long, root long, sim double, side int, band int, sig binary")
-    assert [(r["a"], r["b"]) for r in minhash._likely(rows, 1, s).collect()] == [(1, 0)]
+    found, _ = bags(texts, s)
+    links, holders = [], defaultdict(list)
+    for i, bag in enumerate(found):
+        near = Counter(j for v in bag for j in holders[v])
+        links += [(i, j, sim) for j in near if (sim := alike(bag, found[j])) >= s.threshold]
+        for v in bag:
+            holders[v].append(i)
+    expected = classes(len(texts), [x[:2] for x in links])
+    out = {x["doc_id"]: x["class_id"] for x in minhash.near_duplicates(spark, frame(spark, [(i, x, "en", "s", 1) for i, x in enumerate(texts)])).collect()}
+    assert all(expected[i] == expected[c] for i, c in out.items())  # nothing is linked that isn't alike
+    assert {i: out[i] for i in range(600, len(texts))} == {i: expected[i] for i in range(600, len(texts))}
+    for low, high, least in ((0.8, 0.85, 0.97), (0.85, 0.9, 1), (0.9, 1.01, 1)):
+        alone = [(i, j) for i, j, sim in links if i < 600 and low <= sim < high]
+        share = sum(out[i] == out[j] for i, j in alone) / len(alone)
+        print(f"similarity {low}-{high}: {len(alone)} pairs, found {share:.4f}")
+        assert len(alone) > 20 and share >= least
+
+
+def test_frequent_shingles_are_counted_exactly(spark, monkeypatch):
+    """Those that enough documents hold, whatever else falls into their slots."""
+    import random
+
+    monkeypatch.setattr(minhash, "_FREQUENT", 1 << 7)
+    r = random.Random(2)
+    texts = [" ".join(["one two three four five"] * (i % 3 == 0) + [f"w{r.randrange(900)}" for _ in range(30)] + ["six seven eight nine ten"] * (i % 10 == 0)) for i in range(400)]
+    rows = frame(spark, [(i, x, "en", "s", 1) for i, x in enumerate(texts)])
+    table = minhash.idf(spark, rows, minhash.Settings(), minhash.Scratch(spark, "t"))
+    held = Counter(x for t in texts for x in {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)})
+    least = -(-sum(held.values()) // (1 << 7))
+    frequent = sorted(c for c in held.values() if c >= least)
+    assert 1 <= len(frequent) == len(table.shingles)
+    share = [0.85 + 0.15 * math.log(400 / c) / math.log(400 / least) for c in frequent]
+    assert sorted(table.weight.tolist(), reverse=True) == pytest.approx(share, rel=1e-5)
 
 
 def test_weighted_samples_agree_as_often_as_texts():
