@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, number_rows
+from .scratch import KEY_CHARS, Scratch, number_rows
 
 END = "<|end|>"
 NOBODY = "unknown"
@@ -28,26 +28,38 @@ def _head(role: Column, speaker: Column, system: str) -> Column:
     )
 
 
-def rotate(spark: SparkSession, turns: DataFrame, system: str = "system", turns_a_part: int = 64) -> DataFrame:
+def rotate(spark: SparkSession, turns: DataFrame, system: str = "system", turns_a_part: int | None = 256) -> DataFrame:
     """One row for each conversation, speaker and part: conv_id, part, speaker, text, mask, n_turns, n_own_turns.
 
-    turns: conv_id, turn, role, text. A part holds ``turns_a_part`` turns at most; parts in order make up the whole
-    dialogue, so a conversation of any length is never gathered in one row or task. Turns stand in order of turn
-    (nulls last), then role, then text; repeated rows are turns of their own. A null role speaks as "unknown", a
-    null text is empty, rows with a null conv_id make one conversation. Conversations of system turns alone have
-    no participant and give no row. mask: array of (start, end) in code points of ``text``, the speaker's words
-    and end markers. Extra columns are ignored; an empty table gives an empty one.
+    turns: conv_id, turn, role, text. A dialogue of up to ``turns_a_part`` turns is one part, a longer one several, so
+    that a conversation of any length is never gathered in one row or task; with None all are whole, for dialogues
+    whose length is known to be bounded. Parts in order make up the whole dialogue, and each later part repeats at its
+    head the system turns that open the dialogue (those of its first part); other turns before it aren't in it.
+    n_turns counts a part's own turns.
+
+    Turns stand in order of turn (nulls last), then role, then text; repeated rows are turns of their own. A null role
+    speaks as "unknown", a null text is empty, rows with a null conv_id make one conversation. Conversations of system
+    turns alone have no participant and give no row; a participant who is silent in a part has an empty mask there.
+    mask: array of (start, end) in code points of ``text``, the speaker's words and end markers. Extra columns are
+    ignored; an empty table gives an empty one.
     """
     scratch = Scratch(spark, "chat")
     rows = turns.select(F.col("conv_id"), F.col("turn"), F.coalesce(F.col("role"), F.lit(NOBODY)).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    order = [F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("role").asc(), F.col("text").asc()]
-    rows = number_rows(spark, rows, order, "place", scratch)
-    people = rows.groupBy("conv_id").agg(F.min("place").alias("begin"), F.array_sort(F.collect_set(F.when(F.col("role") != system, F.col("role")))).alias("people"))
-    people = people.withColumnRenamed("conv_id", "_conv")
-    rows = rows.join(people, rows["conv_id"].eqNullSafe(people["_conv"]))
-    rows = rows.withColumn("part", F.floor((F.col("place") - F.col("begin")) / turns_a_part).cast("long"))
-    parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("turns"), F.first("people").alias("people"))
-    each = parts.select("conv_id", "part", "turns", F.explode("people").alias("speaker"))
+    rows = scratch.write(rows, "turns")
+    deal = [F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("role").asc()]
+    rows = number_rows(spark, rows, [*deal, F.col("text").asc()], "place", scratch, deal=[*deal, F.substring("text", 1, KEY_CHARS).asc()])
+    spans = rows.groupBy("conv_id").agg(F.min("place").alias("begin"), F.min(F.when(F.col("role") != system, F.col("place"))).alias("opened"))
+    spans = spans.filter("opened is not null").withColumnRenamed("conv_id", "_conv")
+    rows = rows.join(spans, rows["conv_id"].eqNullSafe(spans["_conv"])).drop("_conv")
+    part = F.lit(0) if turns_a_part is None else F.floor((F.col("place") - F.col("begin")) / turns_a_part)
+    rows = rows.withColumn("part", part.cast("long"))
+    told = F.sort_array(F.collect_list(F.struct("place", "role", "text")))
+    parts = rows.groupBy("conv_id", "begin", "part").agg(told.alias("turns"))
+    opening = rows.filter("place < opened and part = 0").groupBy("begin").agg(told.alias("opening"))
+    people = rows.filter(F.col("role") != system).select("begin", F.col("role").alias("speaker")).distinct()
+    parts = parts.join(opening, "begin", "left").withColumn("n_turns", F.size("turns").cast("long"))
+    again = F.when((F.col("part") > 0) & F.col("opening").isNotNull(), F.concat("opening", "turns")).otherwise(F.col("turns"))
+    each = parts.withColumn("turns", again).join(people, "begin").select("conv_id", "part", "turns", "n_turns", "speaker")
 
     def piece(t: Column) -> Column:
         head, body = _head(t["role"], F.col("speaker"), system), F.concat(_safe(t["text"]), F.lit(END))
@@ -69,6 +81,6 @@ def rotate(spark: SparkSession, turns: DataFrame, system: str = "system", turns_
         "speaker",
         F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("text"),
         F.aggregate("pieces", none, follow)["spans"].alias("mask"),
-        F.size("pieces").cast("long").alias("n_turns"),
+        "n_turns",
         F.size(F.filter("pieces", lambda p: p["own"])).cast("long").alias("n_own_turns"),
     )

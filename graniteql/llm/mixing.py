@@ -60,7 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...]
     """
     scratch = scratch or Scratch(spark, "mixing")
     held = docs.select(F.col(id_col), F.col(source).alias("source"), F.col("text"))
-    sizes = word_counts(with_ids(spark, held, id_col, ["source", "text"], scratch), "rid", "doc_id", "source")
+    sizes = scratch.write(word_counts(with_ids(spark, held, id_col, ["text", "source"], scratch), "rid", "doc_id", "source"), "sizes")
     rows = number_rows(spark, sizes, [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("rid").asc()], "place", scratch)
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("place").alias("begin"))
     ranked = number_rows(spark, totals, [F.col("source").asc_nulls_last()], "rank", scratch)
@@ -91,7 +91,7 @@ def mixed(spark: SparkSession, docs: DataFrame, source: str = "source", id_col:
     others = [c for c in docs.columns if c not in (id_col, source, "text")]
     packed = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(None).cast("string")
     held = docs.select(F.col(id_col), F.col(source).alias("source"), F.col("text"), packed.alias("others"))
-    rows = with_ids(spark, held, id_col, ["source", "text", "others"], scratch)
+    rows = with_ids(spark, held, id_col, ["text", "source", "others"], scratch)
     copies = mix_sources(spark, rows.drop("doc_id"), source="source", id_col="rid", scratch=scratch, **options)
     copies = scratch.write(copies.filter("copies > 0").select(F.col("doc_id").alias("rid"), F.col("copies").cast("int").alias("copies")), "copies")
     # nearly all documents are taken, so texts move at every size; no broadcast that only small inputs would get

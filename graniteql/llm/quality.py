@@ -53,26 +53,22 @@ def measure(text: K.Text, window: int) -> list[np.ndarray]:
 
 
 def measured(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Adds the measures and ``base_failed`` to the rows; needs a column text (null: no words)."""
-    names = [x.split()[0] for x in MEASURES.split(", ")]
-    taken = set(names) | {"base_failed"}
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in taken))
+    """(row, measures...): the whole row as a struct, so that its columns may have any names; needs a column text
+    (null: no words). The measures come with ``base_failed`` in a struct of their own."""
+    names, place = [x.split()[0] for x in MEASURES.split(", ")], docs.columns.index("text")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, text in K.Text.of(batch.column("text")):
+            row = batch.column(0)
+            for a, b, text in K.Text.of(row.field(place)):
                 columns = measure(text, rules.repeat_window)
                 failed = (columns[0] < rules.min_words) | (100 * columns[4] > rules.repeat_percent * columns[0])
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, *(pa.array(c.astype(np.int64)) for c in columns), pa.array(failed)],
-                    [*part.schema.names, *names, "base_failed"],
-                )
+                found = pa.StructArray.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns), pa.array(failed)], [*names, "base_failed"])
+                yield pa.RecordBatch.from_arrays([row.slice(a, b - a), found], ["row", "found"])
 
-    schema = T.StructType(list(docs.schema.fields))
-    for name in names:
-        schema = schema.add(name, "long")
-    return docs.mapInArrow(step, schema.add("base_failed", "boolean"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    schema = T.StructType([rows.schema["row"], T.StructField("found", T._parse_datatype_string(f"{MEASURES}, base_failed boolean"))])
+    return rows.mapInArrow(step, schema)
 
 
 def host_verdicts(counts: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -91,8 +87,9 @@ def host_verdicts(counts: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return counts.select("host", shrunk.alias("host_rate"), (shrunk <= F.lit(rules.host_rate)).alias("host_kept"))
 
 
-def _host_counts(rows: DataFrame, host: str) -> DataFrame:
-    return rows.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
+def _host_counts(rows: DataFrame) -> DataFrame:
+    """(host, base_failed) -> (host, n, failed)"""
+    return rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
 
 
 def judge(spark: SparkSession, docs: DataFrame, host: str = "source", id_col: str = "doc_id", rules: Rules = Rules()) -> DataFrame:
@@ -103,10 +100,12 @@ def judge(spark: SparkSession, docs: DataFrame, host: str = "source", id_col: st
     measured whole.
     """
     scratch = Scratch(spark, "quality")
-    rows = scratch.write(measured(docs.select(F.col(id_col), F.col(host), F.col("text")), rules).drop("text"), "measures")
-    verdicts = host_verdicts(_host_counts(rows, host), rules)
-    out = rows.join(verdicts, rows[host].eqNullSafe(verdicts["host"]), "left").drop("host")
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("host_kept")).drop("host_kept")
+    rows = measured(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{host}`").alias("host"), F.col("text")), rules)
+    rows = scratch.write(rows.select("row.id", "row.host", "found.*"), "measures")
+    verdicts = host_verdicts(_host_counts(rows), rules).withColumnRenamed("host", "of")
+    out = rows.join(verdicts, rows["host"].eqNullSafe(verdicts["of"]), "left").drop("of")
+    out = out.withColumn("kept", ~F.col("base_failed") & F.col("host_kept")).drop("host_kept")
+    return out.withColumnsRenamed({"id": id_col, "host": host})
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataFrame:
@@ -116,8 +115,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, host: str = "source", rules:
     them to a join by id. The cases of ``judge`` hold.
     """
     scratch = Scratch(spark, "quality")
-    light = measured(docs.select(F.col(host), F.col("text")), rules)
-    verdicts = scratch.write(host_verdicts(scratch.write(_host_counts(light, host), "counts"), rules), "verdicts")
-    rows = measured(docs, rules).filter(~F.col("base_failed"))
-    bad = verdicts.filter(~F.col("host_kept")).select(F.col("host").alias("_host"))
-    return rows.join(bad, rows[host].eqNullSafe(bad["_host"]), "left_anti").select(*docs.columns)
+    light = measured(docs.select(F.col(f"`{host}`").alias("host"), F.col("text")), rules).select("row.host", "found.base_failed")
+    verdicts = scratch.write(host_verdicts(scratch.write(_host_counts(light), "counts"), rules), "verdicts")
+    rows = measured(docs, rules).filter("not found.base_failed").select("row")
+    bad = verdicts.filter(~F.col("host_kept")).select("host")
+    kept = rows.join(bad, F.col("row").getField(host).eqNullSafe(bad["host"]), "left_anti")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

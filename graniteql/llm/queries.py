@@ -105,15 +105,20 @@ def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op6_chat_rotation"] = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS body,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS k FROM conversations),
+opened AS (SELECT conv_id, min(k) AS first_other FROM t WHERE role <> 'system' GROUP BY conv_id),
 people AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
-x AS (SELECT t.conv_id, k // 64 AS part, speaker, k, role = speaker AS own, body,
+parts AS (SELECT DISTINCT conv_id, k // 256 AS part FROM t),
+turns AS (SELECT conv_id, k // 256 AS part, k, role, body, true AS own_part FROM t
+  UNION ALL SELECT t.conv_id, parts.part, k, role, body, false FROM t JOIN opened ON t.conv_id IS NOT DISTINCT FROM opened.conv_id
+    JOIN parts ON t.conv_id IS NOT DISTINCT FROM parts.conv_id WHERE k < first_other AND k < 256 AND part > 0),
+x AS (SELECT turns.conv_id, part, speaker, k, own_part, role = speaker AS own, body,
     CASE WHEN role = 'system' THEN '<|system|>' WHEN role = speaker THEN '<|assistant|>' ELSE '<|user name=' || replace(role, '<|', '< |') || '|>' END || chr(10) AS head
-  FROM t JOIN people ON t.conv_id IS NOT DISTINCT FROM people.conv_id),
+  FROM turns JOIN people ON turns.conv_id IS NOT DISTINCT FROM people.conv_id),
 y AS (SELECT *, head || body || '<|end|>' || chr(10) AS piece FROM x),
 z AS (SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, part, speaker ORDER BY k) - length(piece) + length(head) AS low FROM y)
 SELECT conv_id, part, speaker, string_agg(piece, '' ORDER BY k) AS text,
   coalesce(string_agg(CAST(low AS BIGINT) || '-' || CAST(low + length(body) + 7 AS BIGINT), ',' ORDER BY k) FILTER (WHERE own), '') AS mask,
-  count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_own_turns
+  count(*) FILTER (WHERE own_part) AS n_turns, count(*) FILTER (WHERE own) AS n_own_turns
 FROM z GROUP BY conv_id, part, speaker"""
 
 

@@ -70,14 +70,16 @@ def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
-def number_rows(spark: SparkSession, df: DataFrame, order: list[Column], name: str, scratch: Scratch, first: int = 0) -> DataFrame:
+def number_rows(spark: SparkSession, df: DataFrame, order: list[Column], name: str, scratch: Scratch, first: int = 0, deal: list[Column] | None = None) -> DataFrame:
     """Adds a gapless global row number in the given order: two passes, no single-task window.
 
     Pass one sorts by range and writes each row with its partition and place there; pass two adds the rows
-    of the partitions before. The driver sees one count per partition.
+    of the partitions before. The driver sees one count per partition. Spark samples the keys that rows are dealt by,
+    for which it runs ``df`` once more, so that should be a written table; and it sends some to the driver, so where
+    ``order`` has long texts, ``deal`` has a beginning of each key instead.
     """
     n = partitions(spark)
-    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    dealt = df.repartitionByRange(n, *(deal or order)).sortWithinPartitions(*order)
     low = (1 << 33) - 1
     dealt = dealt.withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id().bitwiseAND(F.lit(low)))
     dealt = scratch.write(dealt, f"{name}_ranges")
@@ -91,6 +93,7 @@ def number_rows(spark: SparkSession, df: DataFrame, order: list[Column], name: s
 
 
 SLOT_BITS = 26
+KEY_CHARS = 64
 
 
 def _flagged(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -128,5 +131,6 @@ def with_ids(spark: SparkSession, docs: DataFrame, id_col: str, payload: list[st
     if (seen["most"] or 0) <= 1 and not seen["gap"]:
         return docs.withColumn("rid", F.col("doc_id"))
     order = [F.col("doc_id").asc_nulls_last(), *(F.col(c).asc_nulls_first() for c in payload)]
-    return number_rows(spark, docs, order, "rid", scratch)
+    deal = order[:1] + [F.substring(c, 1, KEY_CHARS).asc_nulls_first() for c in payload[:1] if docs.schema[c].dataType.typeName() == "string"]
+    return number_rows(spark, docs, order, "rid", scratch, deal=deal)
 

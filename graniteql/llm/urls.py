@@ -7,11 +7,13 @@ one sweep keeps a stack of the rules whose interval is open and judges each url
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +30,14 @@ _LAST = chr(0x10FFFF)
 _PER_RANGE = 64
 
 
+def _lower(host: Column) -> Column:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.translate(host, upper, upper.lower())
+
+
 def host_of(url: Column) -> Column:
     """After the first :// up to / ? # or the end, A-Z lower-cased; empty without ://."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(F.regexp_extract(_after(url), "^[^/?#]*", 0), upper, upper.lower())
+    return _lower(F.regexp_extract(_after(url), "^[^/?#]*", 0))
 
 
 def path_of(url: Column) -> Column:
@@ -61,7 +67,7 @@ def _ranges(spark: SparkSession, keys: DataFrame, n: int) -> list[str]:
 def filter_urls(spark: SparkSession, pages: DataFrame, rules: DataFrame | None = None, default: str = "allow", url: str = "url", keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """The key columns, url, host, path, rule (null if none fits) and verdict (the rule's, else ``default``).
 
-    rules: host, path, verdict. A rule fits its host and subdomains where the path starts with the rule's. The
+    rules: host (A-Z are lower-cased), path, verdict. A rule fits its host and subdomains where the path starts with its own. The
     longest rule text (host and path) wins, then the longer host, then "block". Null urls and such without ://
     have empty host and path, and no rule. Rows are judged singly, so repeated rows and null keys stay as they
     are. No rows, or no rules, are fine; very frequent urls and hosts spread over several ranges.
@@ -78,11 +84,11 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: DataFrame | None =
 
     @F.pandas_udf("int")
     def range_of(value: pd.Series) -> pd.Series:
-        return value.map(lambda x: bisect_right(bounds, x)).astype("int32")
+        return pd.Series(np.searchsorted(np.array(bounds, object), value.to_numpy(object), side="right").astype("int32"))
 
     rows = rows.withColumn("range", range_of("spread")).drop("spread").withColumn("kind", F.lit(1))
-    low = F.concat(turned(F.lower("host")), F.lit(""))
-    rules = rules.filter("host is not null and path is not null and verdict is not null").select(low.alias("key"), "host", "path", "verdict")
+    rules = rules.filter("host is not null and path is not null and verdict is not null").select(_lower(F.col("host")).alias("host"), "path", "verdict")
+    rules = rules.withColumn("key", turned(F.col("host")))
     rules = rules.withColumn("range", F.explode(F.sequence(range_of("key"), range_of(F.concat("key", F.lit(_LAST))))))
     rules = rules.withColumn("kind", F.lit(0))
     both = rows.unionByName(rules, allowMissingColumns=True)
@@ -94,25 +100,30 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: DataFrame | None =
         stack: list[_Open] = []
         here = None
         for batch in batches:
-            kinds, ranges, open_keys = (batch.column(c).to_pylist() for c in ("kind", "range", "key"))
-            hosts, paths, verdicts = (batch.column(c).to_pylist() for c in ("host", "path", "verdict"))
-            chosen: list[tuple[str | None, str]] = []
-            urls: list[int] = []
-            for i, key in enumerate(open_keys):
+            kinds, ranges = batch.column("kind").to_numpy(), batch.column("range").to_numpy()
+            own, paths = batch.column("key").to_pylist(), batch.column("path")
+            judged = _Judged(batch.num_rows, default)
+            # between two rules, and within a range, urls stand in order of key: each open host's are its first ones
+            cuts = np.unique(np.concatenate([[0], np.flatnonzero(kinds == 0), np.flatnonzero(kinds == 0) + 1, 1 + np.flatnonzero(np.diff(ranges)), [batch.num_rows]]))
+            for i, j in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
                 if ranges[i] != here:
                     stack, here = [], ranges[i]
-                while stack and not key.startswith(stack[-1].key):
+                while stack and not own[i].startswith(stack[-1].key):
                     stack.pop()
-                if kinds[i]:
-                    urls.append(i)
-                    chosen.append(_longest(stack, paths[i]) or (None, default))
+                if not kinds[i]:
+                    if not stack or stack[-1].key != own[i]:
+                        stack.append(_Open(own[i], batch.column("host")[i].as_py()))
+                    stack[-1].add(paths[i].as_py(), batch.column("verdict")[i].as_py())
                     continue
-                if not stack or stack[-1].key != key:
-                    stack.append(_Open(key, hosts[i].lower()))
-                stack[-1].add(paths[i], verdicts[i])
-            part = batch.take(pa.array(urls, pa.int64()))
-            columns = [part.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([c[0] for c in chosen], pa.string()), pa.array([c[1] for c in chosen], pa.string())], [*names, "rule", "verdict"])
+                while i < j:
+                    while stack and not own[i].startswith(stack[-1].key):
+                        stack.pop()
+                    end = bisect_left(own, stack[-1].key + _LAST, i, j) if stack else j
+                    judged.run(stack, paths, i, end)
+                    i = end
+            urls = np.flatnonzero(kinds)
+            part = batch.take(pa.array(urls))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *judged.columns(urls)], [*names, "rule", "verdict"])
 
     return dealt.mapInArrow(sweep, schema)
 
@@ -129,11 +140,30 @@ class _Open:
         known[path] = verdict if known.get(path, verdict) == verdict else "block"
 
 
-def _longest(stack: list[_Open], path: str) -> tuple[str, str] | None:
-    best, found = (-1, -1), None
-    for entry in stack:
-        for length, known in entry.by_length.items():
-            rank = (len(entry.host) + length, len(entry.host))
-            if rank > best and (verdict := known.get(path[:length])) is not None:
-                best, found = rank, (entry.host + path[:length], verdict)
-    return found
+class _Judged:
+    """For each url of a batch the longest rule that fits, a number in the list of those that fitted any."""
+
+    def __init__(self, n: int, default: str):
+        self.chosen, self.default = np.full(n, -1, np.int64), default
+        self.rules: list[str] = []
+        self.verdicts: list[str] = []
+
+    def run(self, stack: list[_Open], paths: pa.Array, i: int, j: int) -> None:
+        """Urls i..j, for which the same hosts are open. A length of paths at a time, the longest rules last."""
+        ranked = sorted((len(entry.host) + length, len(entry.host), length, n) for n, entry in enumerate(stack) for length in entry.by_length)
+        part = paths.slice(i, j - i)
+        for *_, length, n in ranked:
+            known = stack[n].by_length[length]
+            texts = list(known)
+            found = pc.index_in(pc.utf8_slice_codeunits(part, 0, length), value_set=pa.array(texts, pa.string()))
+            hit = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+            if len(hit):
+                used, at = np.unique(found.take(pa.array(hit)).to_numpy(), return_inverse=True)
+                self.chosen[i + hit] = len(self.rules) + at
+                self.rules += [stack[n].host + texts[k] for k in used.tolist()]
+                self.verdicts += [known[texts[k]] for k in used.tolist()]
+
+    def columns(self, urls: np.ndarray) -> list[pa.Array]:
+        at = self.chosen[urls]
+        at = pa.array(np.where(at < 0, len(self.rules), at))
+        return [pa.array([*self.rules, None], pa.string()).take(at), pa.array([*self.verdicts, self.default], pa.string()).take(at)]

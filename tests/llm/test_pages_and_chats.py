@@ -2,6 +2,7 @@
 
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from graniteql.llm import chat, urls
@@ -19,6 +20,7 @@ def split_url(url):
 
 def judged(url, rules):
     host, path = split_url(url)
+    rules = [("".join(c.lower() if "A" <= c <= "Z" else c for c in h), p, v) for h, p, v in rules]
     fits = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return (host, path, *max(fits)[2:]) if fits else (host, path, None, "allow")
 
@@ -40,7 +42,8 @@ def test_urls(spark):
 
 def test_many_rules(spark):
     rules = [(f"h{i}.com", f"/{j}/", "block" if (i + j) % 2 else "allow") for i in range(40) for j in range(10)] + [("com", "/", "block"), ("h1.com", "/1/2/", "allow"), ("h1.com", "/1/2/", "block")]
-    rows = [(i, f"https://w{i % 3}.h{i % 50}.com/{i % 13}/{i % 5}/x") for i in range(3000)]
+    rules += [("UP.com", "/1/", "block"), ("Ä.org", "/", "block")]  # A-Z are lower-cased, in rules as in urls
+    rows = [(i, f"https://w{i % 3}.h{i % 50}.com/{i % 13}/{i % 5}/x") for i in range(3000)] + [(5000, "http://up.COM/1/"), (5001, "http://Ä.org/"), (5002, "http://ä.org/")]
     table = spark.createDataFrame(rules, "host string, path string, verdict string").unionByName(spark.createDataFrame([(None, "/", "block")], "host string, path string, verdict string"))
     found = urls.filter_urls(spark, spark.createDataFrame(rows, "page_id long, url string"), table).collect()
     assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in found} == {i: judged(u, rules) for i, u in rows}
@@ -57,7 +60,7 @@ def test_no_pages_and_no_rules(spark):
 TURNS = "conv_id long, turn long, role string, text string"
 
 
-def rendered(rows, size=64):
+def rendered(rows, size=256):
     groups = defaultdict(list)
     for conv, turn, role, text in rows:
         groups[conv].append((turn is None, turn or 0, role or "unknown", text or ""))
@@ -66,30 +69,33 @@ def rendered(rows, size=64):
     for conv, turns in groups.items():
         turns.sort()
         for speaker in {t[2] for t in turns} - {"system"}:
+            opening = next(i for i, t in enumerate(turns) if t[2] != "system")
             for part in range(0, len(turns), size):
                 text, mask = "", []
-                for *_, role, body in turns[part : part + size]:
+                for *_, role, body in turns[: min(opening, size) if part else 0] + turns[part : part + size]:
                     text += "<|system|>\n" if role == "system" else "<|assistant|>\n" if role == speaker else f"<|user name={safe(role)}|>\n"
                     start = len(text)
                     text += safe(body) + "<|end|>"
                     if role == speaker:
                         mask.append((start, len(text)))
                     text += "\n"
-                out[conv, speaker, part // size] = (text, mask)
+                out[conv, speaker, part // size] = (text, mask, len(turns[part : part + size]))
     return out
 
 
-def test_rotation(spark):
+@pytest.mark.parametrize("size", [64, None])
+def test_rotation(spark, size):
     rows = [(1, 0, "system", "Be kind."), (1, 1, "ann", "hi <|end|> é"), (1, 2, "bob", None), (1, 3, "ann", "bye\nnow"), (1, 3, "ann", "bye\nnow"), (1, None, None, "who?")]
     rows += [(None, 0, "user", "a"), (None, 0, "assistant", "b"), (2, 0, "system", "alone"), (3, 5, "x<|y", "")]
-    rows += [(4, i // 2, f"p{i % 3}", f"text {i}") for i in range(300)]
+    rows += [(4, i // 2, f"p{i % 3}", f"text {i}") for i in range(300)] + [(4, -1, "system", "first"), (4, -2, "system", "before"), (4, 70, "system", "later")]
+    rows += [(7, i, "system", f"rule {i}") for i in range(100)] + [(7, 100 + i, "ann", "x") for i in range(50)]
     rows += [(5, 7, "user", "same")] * 130 + [(6, 0, "user", "long " * 20_000), (6, 1, "assistant", "")]
     turns = spark.createDataFrame(rows, TURNS)
     for name in ("place", "part", "people", "speaker", "mask", "begin"):
         turns = turns.withColumn(name, F.lit("x"))
-    found = chat.rotate(spark, turns.repartition(3)).collect()
-    assert {(r["conv_id"], r["speaker"], r["part"]): (r["text"], [(m["start"], m["end"]) for m in r["mask"]]) for r in found} == rendered(rows)
-    assert all(r["n_turns"] <= 64 and r["n_own_turns"] == len(r["mask"]) for r in found)
+    found = chat.rotate(spark, turns.repartition(3), turns_a_part=size).collect()
+    assert {(r["conv_id"], r["speaker"], r["part"]): (r["text"], [(m["start"], m["end"]) for m in r["mask"]], r["n_turns"]) for r in found} == rendered(rows, size or 10_000)
+    assert all(r["n_turns"] <= (size or 10_000) and r["n_own_turns"] == len(r["mask"]) for r in found)
 
 
 def test_rotation_is_native_and_takes_no_rows(spark):
