@@ -8,9 +8,9 @@ digests themselves. The filter takes deletions, and one that overflows is rebuil
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,102 +22,156 @@ _SPACE = b" \t\n\v\f\r"
 _FLUSH = 100_000
 _PER_PARTITION = 250_000
 ENTRY = "digest binary, keep_rid long, keep_id long, keep_size long, n long"
+_NULL = np.iinfo(np.int64).min
 
 
 class CuckooIndex:
-    """Live digests with a value each: a cuckoo filter in front of content buckets.
+    """Live digests with their entries: a cuckoo filter whose slots lead to the content. Works on batches.
 
-    Four 16-bit fingerprints a bucket; a digest's two buckets differ by the hash of its fingerprint, so an
-    entry can be moved knowing its fingerprint only. Digests are uniform, and their bytes serve as hashes.
+    A bucket has four slots, each a 16-bit fingerprint and the place of the entry it stands for; a digest's two buckets
+    differ by the hash of its fingerprint, so an entry can be moved knowing its fingerprint only. Digests are uniform,
+    and their bytes serve as hashes. Where no fingerprint fits, a digest is surely new; a hit is compared with the
+    stored digest.
     """
 
     SLOTS = 4
     KICKS = 256
 
     def __init__(self, buckets: int = 256):
-        self.content: dict[int, list[list]] = {}
-        self.live = self.resized = self.false_hits = 0
+        self.digests, self.values = np.zeros((16, 4), np.uint64), np.zeros((16, 4), np.int64)
+        self.alive = np.zeros(16, bool)
+        self.used = self.live = self.resized = self.false_hits = 0
         self._clear(buckets)
 
     def _clear(self, buckets: int) -> None:
         self.mask = buckets - 1
-        self.table = array("H", bytes(2 * self.SLOTS * buckets))
-
-    @staticmethod
-    def _print(digest: bytes) -> int:
-        return int.from_bytes(digest[:2], "little") or 1
-
-    def _other(self, bucket: int, mark: int) -> int:
-        return (bucket ^ (mark * 0x5BD1E995 >> 7)) & self.mask
-
-    def _slot(self, bucket: int, mark: int) -> int:
-        """Position of the fingerprint in the bucket, or -1; mark 0 finds a free slot."""
-        base = bucket * self.SLOTS
-        for i in range(base, base + self.SLOTS):
-            if self.table[i] == mark:
-                return i
-        return -1
-
-    def _place(self, digest: bytes) -> bool:
-        mark, bucket = self._print(digest), int.from_bytes(digest[2:8], "little") & self.mask
-        other = self._other(bucket, mark)
-        for b in (bucket, other):
-            if (i := self._slot(b, 0)) >= 0:
-                self.table[i] = mark
-                return True
+        self.marks = np.zeros((buckets, self.SLOTS), np.uint16)
+        self.places = np.zeros((buckets, self.SLOTS), np.int64)
+
+    def _home(self, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mark = np.maximum(digests[:, 0].astype(np.uint16), 1)
+        return mark, (digests[:, 1] & np.uint64(self.mask)).astype(np.int64)
+
+    def _other(self, bucket: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        return (bucket ^ (mark.astype(np.int64) * 0x5BD1E995 >> 7)) & self.mask
+
+    def _fill(self, mark: np.ndarray, bucket: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Puts what has a free slot in its bucket there; returns which are left."""
+        left = np.ones(len(mark), bool)
+        for slot in range(self.SLOTS):
+            free = np.flatnonzero(left & (self.marks[bucket, slot] == 0))
+            one = free[np.unique(bucket[free], return_index=True)[1]]  # of those that share a bucket one a slot
+            self.marks[bucket[one], slot], self.places[bucket[one], slot] = mark[one], place[one]
+            left[one] = False
+        return left
+
+    def _put(self, place: np.ndarray) -> bool:
+        """Fingerprints of the entries at these places; False if some found no slot."""
+        mark, bucket = self._home(self.digests[place])
         for kick in range(self.KICKS):
-            i = other * self.SLOTS + kick % self.SLOTS
-            mark, self.table[i] = self.table[i], mark
-            other = self._other(other, mark)
-            if (i := self._slot(other, 0)) >= 0:
-                self.table[i] = mark
+            left = self._fill(mark, bucket, place)
+            mark, bucket, place = mark[left], self._other(bucket[left], mark[left]), place[left]
+            left = self._fill(mark, bucket, place)
+            mark, bucket, place = mark[left], bucket[left], place[left]
+            if not len(mark):
                 return True
+            # one entry a bucket takes a slot, and what was there goes on to its other bucket
+            one = np.unique(bucket, return_index=True)[1]
+            slot = kick % self.SLOTS
+            at = bucket[one]
+            out_mark, out_place = self.marks[at, slot].copy(), self.places[at, slot].copy()
+            self.marks[at, slot], self.places[at, slot] = mark[one], place[one]
+            mark[one], place[one] = out_mark, out_place
+            bucket[one] = self._other(at, out_mark)
         return False
 
     def _grow(self) -> None:
         """Twice the buckets, filled again from the stored keys."""
-        buckets, done = self.mask + 1, False
-        while not done:
+        buckets = self.mask + 1
+        while True:
             buckets *= 2
             self.resized += 1
             self._clear(buckets)
-            done = all(self._place(entry[0]) for bucket in self.content.values() for entry in bucket)
-
-    def get(self, digest: bytes) -> list | None:
-        """[digest, value] if it is live. A filter's miss is final; a hit is verified."""
-        mark, bucket = self._print(digest), int.from_bytes(digest[2:8], "little") & self.mask
-        if self._slot(bucket, mark) < 0 and self._slot(self._other(bucket, mark), mark) < 0:
-            return None
-        for entry in self.content.get(int.from_bytes(digest[8:12], "little"), ()):
-            if entry[0] == digest:
-                return entry
-        self.false_hits += 1
-        return None
-
-    def insert(self, digest: bytes, value: object) -> None:
-        """Adds a digest that isn't live."""
-        self.content.setdefault(int.from_bytes(digest[8:12], "little"), []).append([digest, value])
-        self.live += 1
-        if self.live > 3.6 * (self.mask + 1) or not self._place(digest):
+            if self.live <= 3.4 * buckets and self._put(np.flatnonzero(self.alive[: self.used])):
+                return
+
+    def _slots(self, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket and slot of each live digest, -1 for others."""
+        mark, home = self._home(digests)
+        bucket, slot = np.full(len(mark), -1, np.int64), np.full(len(mark), -1, np.int64)
+        for where in (home, self._other(home, mark)):
+            for i in range(self.SLOTS):
+                hit = np.flatnonzero((bucket < 0) & (self.marks[where, i] == mark))
+                same = (self.digests[self.places[where[hit], i]] == digests[hit]).all(1)
+                self.false_hits += int((~same).sum())
+                bucket[hit[same]], slot[hit[same]] = where[hit[same]], i
+        return bucket, slot
+
+    def find(self, digests: np.ndarray) -> np.ndarray:
+        """Places of the entries, -1 where a digest isn't live."""
+        bucket, slot = self._slots(digests)
+        return np.where(bucket >= 0, self.places[bucket, slot], -1)
+
+    def insert(self, digests: np.ndarray, values: np.ndarray) -> None:
+        """Adds different digests that aren't live."""
+        need = self.used + len(digests)
+        if need > len(self.digests):
+            size = max(need, 2 * len(self.digests))
+            self.digests, self.values, self.alive = (np.concatenate([x, np.zeros((size - len(x), *x.shape[1:]), x.dtype)]) for x in (self.digests, self.values, self.alive))
+        place = np.arange(self.used, need)
+        self.digests[place], self.values[place], self.alive[place] = digests, values, True
+        self.used, self.live = need, self.live + len(digests)
+        if self.live > 3.4 * (self.mask + 1) or not self._put(place):
             self._grow()
 
-    def delete(self, digest: bytes) -> bool:
-        entry = self.get(digest)
-        if entry is None:
-            return False
-        bucket = int.from_bytes(digest[8:12], "little")
-        self.content[bucket].remove(entry)
-        if not self.content[bucket]:
-            del self.content[bucket]
-        mark, first = self._print(digest), int.from_bytes(digest[2:8], "little") & self.mask
-        i = self._slot(first, mark)
-        self.table[i if i >= 0 else self._slot(self._other(first, mark), mark)] = 0
-        self.live -= 1
-        return True
-
-    def entries(self) -> Iterator[list]:
-        for bucket in self.content.values():
-            yield from bucket
+    def delete(self, digests: np.ndarray) -> np.ndarray:
+        """Takes out different digests; which of them were live."""
+        bucket, slot = self._slots(digests)
+        found = bucket >= 0
+        bucket, slot = bucket[found], slot[found]
+        self.alive[self.places[bucket, slot]] = False
+        self.marks[bucket, slot] = 0
+        self.live -= int(found.sum())
+        return found
+
+    def merge(self, digests: np.ndarray, values: np.ndarray) -> None:
+        """Entries [rid, id, size, n] of any digests: of equal ones the larger size stays, then the smaller rid, and the
+        n's are added up."""
+        digests, values = _best(digests, values)
+        at = self.find(digests)
+        old = at >= 0
+        if old.any():
+            now, new = self.values[at[old]], values[old]
+            better = (new[:, 2] > now[:, 2]) | ((new[:, 2] == now[:, 2]) & (new[:, 0] < now[:, 0]))
+            kept = np.where(better[:, None], new, now)
+            kept[:, 3] = now[:, 3] + new[:, 3]
+            self.values[at[old]] = kept
+        if not old.all():
+            self.insert(digests[~old], values[~old])
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray]:
+        here = np.flatnonzero(self.alive[: self.used])
+        return self.digests[here], self.values[here]
+
+
+def _best(digests: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One entry a digest: largest size, then smallest rid, and the sum of n."""
+    if len(digests) < 2:
+        return digests, values
+    order = np.lexsort((values[:, 0], -values[:, 2], *digests.T))
+    d = digests[order]
+    first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]).any(1)]))
+    out = values[order[first]]
+    out[:, 3] = np.add.reduceat(values[order, 3], first)
+    return d[first], out
+
+
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Digests as four words each, and the four numbers; a null number is the least long."""
+    column = batch.column(0)
+    raw = np.frombuffer(b"".join(column.to_pylist()), "<u8")
+    numbers = [batch.column(i).fill_null(_NULL).to_numpy(zero_copy_only=False) for i in range(1, 5)]
+    return raw.reshape(-1, 4).astype(np.uint64), np.stack(numbers, 1) if batch.num_rows else np.zeros((0, 4), np.int64)
 
 
 def digests(docs: DataFrame, *keys: str) -> DataFrame:
@@ -136,25 +190,19 @@ def digests(docs: DataFrame, *keys: str) -> DataFrame:
 
 
 def _emit(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
-    rows = [(d, *v) for d, v in index.entries()]
-    for i in range(0, len(rows), 20_000):
-        part = list(zip(*rows[i : i + 20_000], strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.binary()), *(pa.array(c, pa.int64()) for c in part[1:])], ["digest", "keep_rid", "keep_id", "keep_size", "n"])
+    digests, values = index.entries()
+    for i in range(0, len(digests), 20_000):
+        raw, part = digests[i : i + 20_000].astype("<u8").tobytes(), values[i : i + 20_000]
+        keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(part), [None, pa.py_buffer(raw)]).cast(pa.binary())
+        columns = [pa.array(np.ascontiguousarray(part[:, k]), mask=part[:, k] == _NULL) for k in range(4)]
+        yield pa.RecordBatch.from_arrays([keys, *columns], ["digest", "keep_rid", "keep_id", "keep_size", "n"])
 
 
 def _gather(batches: Iterator[pa.RecordBatch], flush: int | None) -> Iterator[pa.RecordBatch]:
     """Entries merged through an index: the larger text stays, then the smaller rid. flush: entries held at most."""
     index = CuckooIndex()
     for batch in batches:
-        for digest, rid, own, size, n in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            entry = index.get(digest)
-            if entry is None:
-                index.insert(digest, [rid, own, size, n])
-                continue
-            value = entry[1]
-            value[3] += n
-            if (-size, rid) < (-value[2], value[0]):
-                value[:3] = rid, own, size
+        index.merge(*_arrays(batch))
         if flush and index.live > flush:
             yield from _emit(index)
             index = CuckooIndex()
@@ -188,20 +236,19 @@ def update_index(spark: SparkSession, index: DataFrame, added: DataFrame | None
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         live = CuckooIndex()
         for batch in batches:
-            for digest, rid, own, size, n, act in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                entry = live.get(digest)
-                if act == 1:
-                    if entry is not None:
-                        live.delete(digest)
-                elif entry is None:
-                    live.insert(digest, [rid, own, size, n])
+            act = batch.column(5).to_numpy()
+            for i, j in ((0, np.searchsorted(act, 1)), (np.searchsorted(act, 1), np.searchsorted(act, 2)), (np.searchsorted(act, 2), len(act))):
+                if i == j:
+                    continue
+                digests, values = _arrays(batch.slice(i, j - i))
+                if act[i] == 1:
+                    live.delete(np.unique(digests, axis=0))
                 else:
-                    entry[1][3] += n
-                    if (-size, rid) < (-entry[1][2], entry[1][0]):
-                        entry[1][:3] = rid, own, size
+                    live.merge(digests, values)
         yield from _emit(live)
 
-    return rows.repartition(partitions(spark), "digest").sortWithinPartitions("act").mapInArrow(step, ENTRY)
+    n = max(partitions(spark), -(-rows.count() // _PER_PARTITION))
+    return rows.repartition(n, "digest").sortWithinPartitions("act").mapInArrow(step, ENTRY)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:

@@ -81,26 +81,63 @@ def test_exact_dedup_hard(spark):
     assert len(kept) == len({strip(x[1]) for x in rows}) == len({strip(r["text"]) for r in kept})
 
 
+def digests_of(things):
+    import numpy as np
+
+    return np.frombuffer(b"".join(hashlib.sha256(str(i).encode()).digest() for i in things), "<u8").reshape(-1, 4)
+
+
+def four(n):
+    import numpy as np
+
+    return np.stack([np.arange(n), np.arange(n), np.zeros(n, np.int64), np.ones(n, np.int64)], 1)
+
+
 def test_cuckoo_index():
-    index, live = exact.CuckooIndex(buckets=2), {}
-    for i in range(3000):
-        d = hashlib.sha256(str(i).encode()).digest()
-        assert index.get(d) is None
-        index.insert(d, i)
-        live[d] = i
-        if i % 3 == 0:
-            assert index.delete(d) and not index.delete(d)
-            del live[d]
-    assert index.resized > 3
-    assert {bytes(k): v for k, v in index.entries()} == live
-    assert all(index.get(d)[1] == i for d, i in live.items())
+    index, live = exact.CuckooIndex(buckets=2), set()
+    for start in range(0, 3000, 75):
+        things = list(range(start, start + 75))
+        keys = digests_of(things)
+        assert (index.find(keys) == -1).all()
+        index.insert(keys, four(75) + start)
+        live |= set(things)
+        gone = things[::3]
+        assert index.delete(digests_of(gone)).all() and not index.delete(digests_of(gone)).any()
+        live -= set(gone)
+    assert index.resized > 3 and index.live == len(live)
+    assert {int(v[0]) for v in index.entries()[1]} == live
+    found = index.find(digests_of(sorted(live)))
+    assert index.values[found, 0].tolist() == sorted(live)
+    assert (index.find(digests_of(range(5000, 9000))) == -1).all()
 
 
 def test_cuckoo_overflow_rebuilds_from_keys():
+    import numpy as np
+
     index = exact.CuckooIndex(buckets=1)
-    for i in range(8):  # one fingerprint, which fits eight times once there are two buckets
-        index.insert(bytes([7, 7, 0, 0, 0, 0, 0, 0, i]) + bytes(23), i)
-    assert index.resized and all(index.get(e[0])[1] == e[1] for e in list(index.entries())) and index.live == 8
+    keys = np.array([[7, 0, 0, i] for i in range(8)], np.uint64)  # one fingerprint, which fits eight times once there are two buckets
+    for i in range(8):
+        index.insert(keys[i : i + 1], four(1) + i)
+    assert index.resized and index.values[index.find(keys), 0].tolist() == list(range(8)) and index.live == 8
+
+
+def test_cuckoo_merges_as_one_by_one():
+    import random
+
+    import numpy as np
+
+    r, index, expected = random.Random(3), exact.CuckooIndex(), {}
+    for _ in range(20):
+        things = [r.randrange(300) for _ in range(50)]
+        values = [[r.randrange(1000), 5, r.randrange(3), r.randrange(1, 4)] for _ in things]
+        index.merge(digests_of(things), np.array(values))
+        for x, v in zip(things, values, strict=True):
+            old = expected.setdefault(x, [*v[:3], 0])
+            if (-v[2], v[0]) < (-old[2], old[0]):
+                old[:3] = v[:3]
+            old[3] += v[3]
+    at = index.find(digests_of(sorted(expected)))
+    assert index.values[at].tolist() == [expected[x] for x in sorted(expected)] and index.live == len(expected)
 
 
 def test_stored_index_updates(spark):
