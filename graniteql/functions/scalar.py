@@ -180,6 +180,23 @@ def cast(text: str, target: str, kind: Kind) -> str:
     return f"CAST({text} AS {target})"
 
 
+def unsigned(text: str) -> str:
+    """A whole number of 64 bits without sign; others are errors."""
+    return f"CASE WHEN {text} < 0 OR {text} > 18446744073709551615BD THEN CAST(raise_error(concat('not an unsigned number of 64 bits: ', {text})) AS DECIMAL(20,0)) ELSE {text} END"
+
+
+def length_of(text: str, kind: str) -> str:
+    """Seconds of an interval of whatever kind, for comparisons: a month is 30 days, a day 24 hours."""
+    mixed = kind == "interval"
+    if not mixed:
+        whole = "YEAR TO MONTH" if "year" in kind or "month" in kind else "DAY TO SECOND"
+        text = f"CAST({text} AS INTERVAL {whole})"
+    part = lambda unit, factor: f"CAST(extract({unit}{'S' if mixed else ''} FROM {text}) AS DECIMAL(18,6)) * {factor}"
+    months = [part("YEAR", 12 * 30 * 86400), part("MONTH", 30 * 86400)]
+    clock = [part("DAY", 86400), part("HOUR", 3600), part("MINUTE", 60), part("SECOND", 1)]
+    return f"({' + '.join([*months, *clock] if mixed else months if 'YEAR' in whole else clock)})"
+
+
 def at_zone(text: str, zone: str, kind: Kind) -> str:
     """Local time in a zone to an instant, and back. A local time that the zone skips is an error; of two
     instants with the same local time the later is meant (for zones that shift by half an hour or an hour)."""

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("tpch", "functions", "relational", "storage")
+MODULES = ("tpch", "functions", "relational", "storage", "surfaces")
 
 
 def _all() -> list:

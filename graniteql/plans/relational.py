@@ -126,3 +126,32 @@ SUITE.sql("log_text_groups", "SELECT regexp_replace(url, '^https?://(?:m\\.|blog
 SUITE.sql("log_wide_sums", "SELECT " + ", ".join(f"round(sum(value + {i}), 2) AS s{i:02}" for i in range(30)) + " FROM events")
 SUITE.sql("log_two_keys", "SELECT user_id, event_type, count(*) AS n, round(avg(value), 6) AS a FROM events GROUP BY user_id, event_type")
 SUITE.sql("log_by_hour", "SELECT date_trunc('hour', ts) AS h, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-12 00:00:00' GROUP BY date_trunc('hour', ts) ORDER BY h LIMIT 20 OFFSET 10")
+SUITE.sql("log_sorted_text", "SELECT props, event_id FROM events WHERE props LIKE '%1%' ORDER BY props, event_id LIMIT 10")
+SUITE.sql("log_sorted_time", "SELECT * FROM events WHERE props LIKE '%9}' ORDER BY ts LIMIT 10")
+SUITE.sql("log_sorted_both", "SELECT props, ts, event_id FROM events WHERE event_type <> '' ORDER BY ts, props LIMIT 10")
+SUITE.sql("log_phrase_counts", "SELECT props, count(*) AS n FROM events WHERE props <> '' GROUP BY props ORDER BY n DESC, props LIMIT 10")
+SUITE.sql("log_phrase_users", "SELECT props, count(DISTINCT user_id) AS u FROM events WHERE props <> '' GROUP BY props ORDER BY u DESC, props LIMIT 10")
+SUITE.sql("log_type_phrase", "SELECT event_type, props, count(*) AS n FROM events WHERE props <> '' GROUP BY event_type, props ORDER BY n DESC, event_type, props LIMIT 10")
+SUITE.sql("log_type_measures", "SELECT event_type, round(sum(value), 2) AS s, count(*) AS n, round(avg(value), 6) AS a, count(DISTINCT user_id) AS u FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 10")
+SUITE.sql("log_user_type", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type ORDER BY n DESC, user_id, event_type LIMIT 10")
+SUITE.sql("log_text_firsts", "SELECT props, min(event_type) AS t, count(*) AS n FROM events WHERE event_type LIKE '%ic%' AND props <> '' GROUP BY props ORDER BY n DESC, props LIMIT 10")
+SUITE.sql("log_text_minima", "SELECT props, min(event_type) AS t, min(ts) AS first, count(*) AS n, count(DISTINCT user_id) AS u FROM events WHERE event_type LIKE 'c%' AND event_type NOT LIKE '%.x.%' GROUP BY props ORDER BY n DESC, props LIMIT 10")
+SUITE.sql("log_text_lengths", "SELECT event_type, avg(length(props)) AS l, count(*) AS n FROM events WHERE props <> '' GROUP BY event_type HAVING count(*) > 100 ORDER BY l DESC, event_type LIMIT 25")
+SUITE.sql("log_constant_group", "SELECT 1 AS one, event_type, count(*) AS n FROM events GROUP BY 1, event_type ORDER BY n DESC, event_type LIMIT 10")
+SUITE.sql("log_shifted_keys", "SELECT user_id, user_id - 1 AS a, user_id - 2 AS b, user_id - 3 AS c, count(*) AS n FROM events GROUP BY user_id, user_id - 1, user_id - 2, user_id - 3 ORDER BY n DESC, user_id LIMIT 10")
+SUITE.sql("log_filtered_pages", "SELECT url, count(*) AS n FROM pages WHERE page_id >= 10 AND url <> '' GROUP BY url ORDER BY n DESC, url LIMIT 10")
+SUITE.sql("log_offset", "SELECT event_type, user_id, count(*) AS n FROM events WHERE user_id > 0 GROUP BY event_type, user_id ORDER BY n DESC, event_type, user_id LIMIT 10 OFFSET 100")
+SUITE.sql("log_case_groups", "SELECT CASE WHEN value < 5 AND event_type = 'view' THEN 'low' ELSE event_type END AS src, user_id, count(*) AS n FROM events GROUP BY src, user_id ORDER BY n DESC, src, user_id LIMIT 10")
+SUITE.sql("log_in_list", "SELECT user_id, CAST(ts AS DATE) AS d, count(*) AS n FROM events WHERE user_id IN (1, 6, 42) AND ts >= TIMESTAMP '2024-01-01 00:00:00' GROUP BY user_id, CAST(ts AS DATE) ORDER BY n DESC, user_id, d LIMIT 10 OFFSET 2")
+SUITE.sql("log_by_minute", "SELECT date_trunc('minute', ts) AS m, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-14 00:00:00' AND ts < TIMESTAMP '2024-01-16 00:00:00' GROUP BY date_trunc('minute', ts) ORDER BY date_trunc('minute', ts) LIMIT 10 OFFSET 20")
+SUITE.sql("log_distinct_texts", "SELECT count(DISTINCT props) AS n FROM events")
+
+# --- what QUALIFY, GROUPS frames and intervals reach
+
+SUITE.sql("win_qualify_hidden", "SELECT o.o_orderkey, o_totalprice FROM orders o QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2 ORDER BY o.o_custkey, o_totalprice + 1 DESC, o_orderkey LIMIT 50")
+SUITE.sql("win_groups_join", "SELECT o_orderkey, c_name, count(*) OVER (PARTITION BY c_nationkey ORDER BY o.o_orderstatus GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o_totalprice > 100000")
+SUITE.sql("win_groups_grouped", "SELECT o_custkey % 50 AS k, sum(o_totalprice) > 0 AS x, sum(count(*)) OVER (ORDER BY o_custkey % 50 GROUPS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS n FROM orders GROUP BY o_custkey % 50")
+SUITE.sql("win_groups_star", "SELECT *, count(*) OVER w AS n FROM nation WINDOW w AS (ORDER BY n_regionkey GROUPS BETWEEN 1 PRECEDING AND 1 PRECEDING) QUALIFY n > 0 ORDER BY n_nationkey")
+SUITE.sql("type_interval_compare", "SELECT n_nationkey AS k, i > INTERVAL '45 days' AS more, i = INTERVAL '1 month 2 days' AS same FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN INTERVAL '1 month 2 days' ELSE INTERVAL '2 months 1 hour' END AS i FROM nation)")
+SUITE.sql("type_interval_max", "SELECT n_regionkey AS k, max(i) = INTERVAL '2 months 1 hour' AS hi, min(i) < INTERVAL '33 days' AS lo FROM (SELECT n_regionkey, CASE WHEN n_nationkey % 3 = 0 THEN INTERVAL '1 month 2 days' ELSE INTERVAL '2 months 1 hour' END AS i FROM nation) GROUP BY n_regionkey")
+SUITE.sql("type_unsigned", "SELECT CAST(n_nationkey AS UBIGINT) + 0 AS a, CAST('18446744073709551615' AS UBIGINT) = 18446744073709551615 AS b FROM nation", "SELECT CAST(n_nationkey AS DECIMAL(38,0)) AS a, true AS b FROM nation")

@@ -160,5 +160,9 @@ FROM (SELECT c_nationkey AS cntry, c_acctbal FROM customer WHERE c_nationkey IN
   AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)) custsale
 GROUP BY cntry ORDER BY cntry""")
 
+# the programs above as SQL, through the dialect
+for _name, _text in list(ORACLE.items()):
+    SUITE.sql(_name.replace("tpch_", "tpch_sql_"), _text)
+
 QUERIES |= SUITE.queries
 ORACLE |= SUITE.oracle

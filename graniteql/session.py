@@ -12,6 +12,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .functions.scalar import quote
 from .sources.csv import read_csv, sniff, CsvOptions
@@ -86,15 +87,29 @@ class Result:
         return [tuple(r) for r in self]
 
     def batches(self, size: int = 8192) -> Iterator[pa.RecordBatch]:
-        """Arrow batches; one partition is on the driver at a time."""
-        held: list = []
-        for row in self:
-            held.append(row.asDict())
-            if len(held) == size:
-                yield pa.RecordBatch.from_pylist(held)
-                held = []
-        if held:
-            yield pa.RecordBatch.from_pylist(held)
+        """Arrow batches of the result's types, made by the tasks; one partition is on the driver at a time. Columns
+        may share a name."""
+        names, df = self.df.columns, self.df.toDF(*(f"c{i}" for i in range(len(self.df.columns))))
+        kinds = to_arrow_schema(df.schema) if names else pa.schema([])
+        if not names:
+            return
+
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, size):
+                    part = batch.slice(i, size)
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, part.schema) as out:
+                        out.write_batch(part)
+                    yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["data"])
+
+        out = Result(df.mapInArrow(encode, "data binary"), self.query_id, self.files)
+        self.rows = 0
+        for (data,) in out:
+            for batch in pa.ipc.open_stream(data):
+                self.rows += batch.num_rows
+                yield pa.RecordBatch.from_arrays([c.cast(k) if c.type != k else c for c, k in zip(batch.columns, kinds.types, strict=True)], names)
+        self.seconds = out.seconds
 
     def cancel(self) -> None:
         self.df.sparkSession.sparkContext.cancelJobGroup(self.query_id)
@@ -559,7 +574,7 @@ class Session:
         if c.source is not None:
             source += f", {emitter.ref(c.source, [], None)}"
         scope = Scope([], source, None)
-        items = [f"{ident(alias)}.{ident(ROW)} AS {ident(ROW)}", *(f"{emitter.e(e, scope)} AS {ident('_new_' + n)}" for n, e in values)]
+        items = [*(f"{ident(alias)}.{ident(c)} AS {ident(c)}" for c in ROW), *(f"{emitter.e(e, scope)} AS {ident('_new_' + n)}" for n, e in values)]
         where = f" WHERE {emitter.conjuncts(c.where, scope)}" if c.where is not None else ""
         return self.spark.sql(f"SELECT {', '.join(items)} FROM {source}{where}")
 
@@ -645,6 +660,8 @@ class Session:
         return self._each(c, lambda t, path: t.analyze(path))
 
     def _do_vacuum(self, c, params) -> DataFrame:
+        if self.transaction is not None and self.transaction.open:
+            raise StoreError("VACUUM doesn't run inside a transaction")
         return self._message(rows=self.engine._store().vacuum())
 
     def _do_checkpoint(self, c, params) -> DataFrame:

@@ -9,7 +9,8 @@ from datetime import date, datetime, time, timedelta
 from decimal import Decimal
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from .files import SourceError, check_location, list_files, move, remove
 
@@ -29,6 +30,8 @@ def copy_to(spark: SparkSession, df: DataFrame, location: str, options: dict[str
         raise SourceError("the encoding is UTF-8")
     single = str(options.get("single", "true")).lower() == "true"
     temporary = f"{location.rstrip('/')}.writing-{uuid.uuid4().hex}"
+    counted = Observation()
+    df = df.observe(counted, F.count(F.lit(1)).alias("n"))
     writer = (df.coalesce(1) if single else df).write.mode("error")
     try:
         if kind == "parquet":
@@ -55,7 +58,7 @@ def copy_to(spark: SparkSession, df: DataFrame, location: str, options: dict[str
             move(spark, temporary, location)
     finally:
         remove(spark, temporary)
-    return df.sparkSession.read.parquet(location).count() if kind == "parquet" else -1
+    return counted.get["n"]
 
 
 def text_of(value: Any) -> str:

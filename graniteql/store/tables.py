@@ -2,7 +2,8 @@
 
 A table is a list of Parquet segments less its delete vectors. Columns have numbers: files hold ``c1``, ``c2``...,
 and names, order, defaults and renames live in the manifest, so most ALTERs write nothing. Every row has a number
-of its own for good (``_row``). All changes append: DELETE writes row numbers, UPDATE writes these and new rows.
+of its own for good: its segment's (``_seg``, drawn at random, so that writers need not agree on it) and its place
+there (``_row``). All changes append: DELETE writes row numbers, UPDATE writes these and new rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from ..sources.files import remove
 from .manifest import StoreError
 
-ROW = "_row"
+ROW = ("_seg", "_row")
+ROW_SCHEMA = "_seg long, _row long"
 
 
 class Tables:
@@ -63,21 +65,21 @@ class Tables:
         parts = []
         for ids, paths in by_ids.items():
             held = dict(ids)
-            schema = ", ".join([*(f"c{i} {kind}" for i, kind in ids), f"{ROW} long"])
+            schema = ", ".join([*(f"c{i} {kind}" for i, kind in ids), ROW_SCHEMA])
             df = self.spark.read.schema(schema).parquet(*paths)
-            parts.append(df.select(*(self._column(c, held).alias(c["name"]) for c in columns), ROW))
+            parts.append(df.select(*(self._column(c, held).alias(c["name"]) for c in columns), *ROW))
         if not parts:
-            schema = ", ".join([*(f"`{c['name']}` {c['type']}" for c in columns), f"{ROW} long"])
+            schema = ", ".join([*(f"`{c['name']}` {c['type']}" for c in columns), ROW_SCHEMA])
             return self._out(self.spark.createDataFrame([], schema), with_row)
         rows = reduce(DataFrame.unionByName, parts)
         if t["deletes"]:
-            gone = self.spark.read.schema(f"{ROW} long").parquet(*(f"{self.root}/data/{d['path']}" for d in t["deletes"]))
-            rows = rows.join(gone, ROW, "left_anti")
+            gone = self.spark.read.schema(ROW_SCHEMA).parquet(*(f"{self.root}/data/{d['path']}" for d in t["deletes"]))
+            rows = rows.join(gone, list(ROW), "left_anti")
         return self._out(rows, with_row)
 
     @staticmethod
     def _out(df: DataFrame, with_row: bool) -> DataFrame:
-        return df if with_row else df.drop(ROW)
+        return df if with_row else df.drop(*ROW)
 
     @staticmethod
     def _column(c: dict, held: dict) -> Column:
@@ -105,12 +107,9 @@ class Tables:
         columns = t["columns"]
         if len(rows.columns) != len(columns):
             raise StoreError(f"{len(columns)} columns are needed, not {len(rows.columns)}")
-        number = self._number()
         physical = rows.toDF(*(f"c{c['id']}" for c in columns))
-        physical = physical.select(*(F.col(f"c{c['id']}").cast(c["type"]).alias(f"c{c['id']}") for c in columns)).coalesce(1 << 14)
-        # a row's number: the segment's, 14 bits for the task, 30 for the place there
-        place = F.spark_partition_id().cast("long") * (1 << 30) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 30) - 1))
-        physical = physical.withColumn(ROW, F.lit(number << 44) + place)
+        physical = physical.select(*(F.col(f"c{c['id']}").cast(c["type"]).alias(f"c{c['id']}") for c in columns))
+        physical = physical.withColumn(ROW[0], F.lit(uuid.uuid4().int >> 66)).withColumn(ROW[1], F.monotonically_increasing_id())
         segment, count, size = self._write(physical, "rows")
         t["segments"].append({"path": segment, "rows": count, "bytes": size, "columns": [[c["id"], c["type"]] for c in columns]})
         self._touch(path)
@@ -134,7 +133,7 @@ class Tables:
         return self._append(path, rows)
 
     def _delete_rows(self, path: list[str], numbers: DataFrame) -> int:
-        file, count, size = self._write(numbers.select(ROW), "gone")
+        file, count, size = self._write(numbers.select(*ROW), "gone")
         if count:
             self.table(path)["deletes"].append({"path": file, "rows": count, "bytes": size})
             self._touch(path)
@@ -144,25 +143,30 @@ class Tables:
         """matches: row numbers to go, maybe repeated. Returns the rows that went."""
         t = self.table(path)
         before = self.scan(path, True)
-        numbers = self._freeze(matches.select(ROW).distinct())
+        numbers = self._freeze(matches.select(*ROW).distinct())
         self._delete_rows(path, numbers)
         assert t is self.table(path)
-        return before.join(numbers, ROW, "left_semi").drop(ROW)
+        return before.join(numbers, list(ROW), "left_semi").drop(*ROW)
 
     def update(self, path: list[str], matches: DataFrame, changed: list[str]) -> DataFrame:
         """matches: row numbers and new values under ``_new_<column>``. Of several matches of a row, the least in
         the order of the new values counts, so reruns agree. Returns the rows as they are now."""
-        order = Window.partitionBy(ROW).orderBy(*(F.col(f"_new_{c}").asc_nulls_last() for c in changed))
+        order = Window.partitionBy(*ROW).orderBy(*(F.col(f"_new_{c}").asc_nulls_last() for c in changed))
         one = matches.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
-        one = self._freeze(one.select(ROW, *(f"_new_{c}" for c in changed)))
+        one = self._freeze(one.select(*ROW, *(f"_new_{c}" for c in changed)))
         before = self.scan(path, True)
         names = [c["name"] for c in self.table(path)["columns"]]
         low = {c.lower(): c for c in changed}
-        after = before.join(one, ROW).select(*((F.col(f"_new_{low[n.lower()]}") if n.lower() in low else F.col(f"`{n}`")).alias(n) for n in names))
+        after = before.join(one, list(ROW)).select(*((F.col(f"_new_{low[n.lower()]}") if n.lower() in low else F.col(f"`{n}`")).alias(n) for n in names))
         added = self._append(path, after)
         self._delete_rows(path, one)
         return added
 
+    def share_rows(self, one: list[str], two: list[str]) -> bool:
+        """Whether two lists of delete vectors have a row in common."""
+        a, b = (self.spark.read.schema(ROW_SCHEMA).parquet(*(f"{self.root}/data/{x}" for x in paths)) for paths in (one, two))
+        return not a.join(b, list(ROW), "left_semi").isEmpty()
+
     def _freeze(self, df: DataFrame) -> DataFrame:
         """Matches are written once: they are used twice, and must not change as the table does."""
         path = f"{self.root}/data/work-{uuid.uuid4().hex}"

@@ -12,11 +12,15 @@ _TEXT = {"VARCHAR", "TEXT", "CHAR", "STRING", "CHARACTER", "CHARACTER VARYING",
 INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
 
+def is_unsigned(name: str) -> bool:
+    return name in _UNSIGNED or name.endswith(" UNSIGNED")
+
+
 def spark_type(name: str, args: list[int]) -> str:
     """Whole numbers are 64-bit, floating ones double; a bare DECIMAL is (18,3). Unsigned ones are decimal(20,0)."""
     if name in _SIGNED:
         return "BIGINT"
-    if name in _UNSIGNED or name.endswith(" UNSIGNED"):
+    if is_unsigned(name):
         return "DECIMAL(20,0)"
     if name in _FLOATING:
         return "DOUBLE"
