@@ -7,6 +7,7 @@ how rows were dealt (partition numbers, offsets) are frozen once written.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,13 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def free(spark: SparkSession) -> None:
+    """Spark deletes a finished step's shuffle files once the driver's garbage is collected; asking for that between
+    steps keeps those of one step on the disks at a time."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Written tables of one call. ``drop`` frees those no longer read; the rest go when the process ends.
 

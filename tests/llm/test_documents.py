@@ -372,9 +372,10 @@ def test_katz_counts_of_more_than_32_bits():
     found = katz._count_words(katz._rows("block long, p int, a binary, b binary, c binary", asks)).to_pylist()
     assert found[0]["tokens"] == 2 * big + 1 and katz.unpacked(found[1]["a"]).tolist() == [2 * big, 1]
     one = katz.packed(np.array([2]))
-    asks = [dict(p=0, block=b, sure=0, ctx=katz.rising(np.array([9])), hot=katz.flags(np.array([False])), runs=one, succ=katz.packed(np.array([4, big])), cnt=katz.packed(np.array([big, 1])), held=katz.flags(np.array([False, False])), low=katz.packed(np.array([big, big]))) for b in (0, 1)]
-    found = katz._count_grams(katz._rows(katz._ASK, asks), katz.Level(np.ones(6)), True).to_pylist()
-    assert katz.unpacked(found[0]["d"]).tolist() == [2 * big, 2] and katz.unpacked(found[0]["c"]).tolist() == [4, big] and found[0]["r2"] == 1
+    asks = [dict(p=0, block=b, sure=0, ctx=katz.rising(np.array([9])), hot=katz.flags(np.array([False])), runs=one, words=katz.rising(np.array([4, big])), succ=katz.packed(np.array([0, 1])), cnt=katz.packed(np.array([big, 1])), held=katz.flags(np.array([False, False])), low=katz.packed(np.array([big, big])), once=katz.rising(np.array([9])), once_hot=katz.flags(np.array([False])), times=katz.packed(np.array([big]))) for b in (0, 1)]
+    found = katz._count_grams(katz._rows(katz._ASK, asks), katz.Level(np.ones(6)), True, True).to_pylist()
+    assert katz.unpacked(found[0]["d"]).tolist() == [2 * big, 2] and katz.unpacked(found[0]["c"]).tolist() == [4, big]
+    assert found[0]["r2"] == 1 and found[0]["r1"] == 2 * big
 
 
 def test_katz_asks_a_row_a_block_and_partition(spark):
