@@ -16,7 +16,7 @@ from typing import Any
 from urllib.parse import parse_qs, urlparse
 
 from ..session import Engine
-from ..sources.files import remove, work_folder
+from ..sources.files import list_files, remove, work_folder
 from ..sources.sinks import text_of
 from ..sql import commands
 from ..sql.parser import Node, SqlError
@@ -44,10 +44,11 @@ def check_read_only(text: str) -> None:
 
 
 class Results:
-    """Queries by id, with their state and where their rows are."""
+    """Queries by id, with their state and where their rows are. ``keep``: how many; ``most_bytes``: of all results
+    together, the oldest of which make room; ``running``: queries at a time, others are refused."""
 
-    def __init__(self, engine: Engine, keep: int = 100, seconds: float = 3600):
-        self.engine, self.keep, self.seconds = engine, keep, seconds
+    def __init__(self, engine: Engine, keep: int = 100, seconds: float = 3600, most_bytes: int = 10 << 30, running: int = 16):
+        self.engine, self.keep, self.seconds, self.most_bytes, self.running = engine, keep, seconds, most_bytes, running
         self.folder = work_folder(engine.spark, "results")
         self.lock = threading.Lock()
         self.queries: dict[str, dict[str, Any]] = {}
@@ -59,6 +60,8 @@ class Results:
         with self.lock:
             if len(self.queries) >= self.keep:
                 raise SqlError("too many results are kept")
+            if sum(e["state"] == "running" for e in self.queries.values()) >= self.running:
+                raise SqlError("too many queries are running")
             self.queries[entry["id"]] = entry
         threading.Thread(target=self._run, args=(entry, text, params), daemon=True).start()
         return entry
@@ -76,13 +79,26 @@ class Results:
             numbered.write.parquet(path)
             written = spark.read.schema(numbered.schema).parquet(path)
             entry["rows"] = written.count()
-            entry["path"] = path
+            entry["path"], entry["bytes"] = path, sum(f.size for f in list_files(spark, path))
+            self.make_room(entry)
             if entry["state"] == "running":
                 entry["state"] = "done"
         except Exception as e:  # noqa: BLE001 - whatever failed is told to the client
             if entry["state"] == "running":
                 entry.update(state="failed", error=str(e).splitlines()[0][:500])
 
+    def make_room(self, entry: dict[str, Any]) -> None:
+        """Drops the oldest results until all fit; one that doesn't fit by itself fails."""
+        if entry["bytes"] > self.most_bytes:
+            remove(self.engine.spark, entry.pop("path"))
+            raise SqlError("the result is larger than the store of results")
+        with self.lock:
+            done = sorted((e for e in self.queries.values() if "path" in e), key=lambda e: e["submitted"])
+            while sum(e["bytes"] for e in done) > self.most_bytes:
+                old = done.pop(next(i for i, e in enumerate(done) if e is not entry))
+                self.queries.pop(old["id"], None)
+                remove(self.engine.spark, old["path"])
+
     def get(self, name: str) -> dict[str, Any] | None:
         return self.queries.get(name)
 

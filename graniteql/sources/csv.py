@@ -6,6 +6,7 @@ import csv as pycsv
 import gzip
 import io
 import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -131,7 +132,8 @@ def read_csv(spark: SparkSession, location: str, schema: list[tuple[str, str]] |
     positional = bool(given.pop("positional", False))
     options = CsvOptions(**given)  # type: ignore[arg-type]
     files = list_files(spark, location)
-    found = [sniff(spark, f, options) for f in files]
+    with ThreadPoolExecutor(16) as pool:  # samples come from the files' store, many at a time
+        found = list(pool.map(lambda f: sniff(spark, f, options), files))
     if schema is None:
         if any(x[0] != found[0][0] for x in found):
             raise SourceError("the files' schemas differ")
