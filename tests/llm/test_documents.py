@@ -186,6 +186,20 @@ def test_mixing(spark):
     assert sorted((r["doc_id"], r["taken"]) for r in found) == sorted((r["doc_id"], r["taken"]) for r in again)
 
 
+def test_mixing_hard(spark):
+    """Null and repeated ids are documents of their own: what a source takes is near its target all the same."""
+    rows = hard() * 3
+    found = mixing.mix_sources(spark, clashing(frame(spark, rows))).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in found) == Counter((x[0], len(words(x[1]))) for x in rows)
+    taken, target, largest = Counter(), {}, Counter()
+    for r in found:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
+        assert r["taken"] == r["copies"] * r["size"] <= 3 * r["size"]
+    assert all(abs(taken[s] - target[s]) <= largest[s] + 1 for s in target)
+
+
 def test_mixed_copies(spark):
     rows = hard()
     counts = mixing.mix_sources(spark, frame(spark, rows)).collect()
@@ -254,11 +268,37 @@ def test_lines(spark, batches):
         assert (r["n_lines"], r["n_dropped"], r["text"]) == expected[r["doc_id"]]
 
 
+def numbered(rows):
+    """Rows in order of id (nulls last), then text (nulls first), with numbers in place of their ids."""
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or ""))
+    return [(i, *r[1:]) for i, r in enumerate(order)], [r[0] for r in order]
+
+
 def test_lines_hard(spark):
-    rows = hard()
-    found = lines.dedup_lines(spark, frame(spark, rows)).collect()
-    assert len(found) == len(rows)
-    assert sum(r["n_lines"] for r in found) == sum(len((x[1] or "").split("\n")) for x in rows)
+    rows, ids = numbered(hard())
+    expected = Counter((ids[i], *x) for i, x in line_result(rows).items())
+    found = lines.dedup_lines(spark, clashing(frame(spark, hard()))).collect()
+    assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in found) == expected
+
+
+def test_line_runs_are_merged_in_order(spark):
+    """Batches and compactions read the runs in their order: no run is dealt or sorted again."""
+    scratch = lines.Scratch(spark, "runs")
+    runs, kept = lines.LineRuns(spark, scratch, fanout=2), {}
+    for b in range(7):
+        keys = [(i * 7919 % 503, i % 11, b * 1000 + i) for i in range(b * 40, b * 40 + 200)]
+        for one, two, rid in keys:
+            kept.setdefault((one, two), rid)
+            kept[one, two] = min(kept[one, two], rid)
+        runs.add(spark.createDataFrame(keys, "k1 long, k2 long, rid long"))
+    assert len(runs.levels) > 1 and all(len(x) <= 2 for x in runs.levels)
+    with runs._in_order():
+        batch = spark.createDataFrame([(1, 2, 3)], "k1 long, k2 long, rid long").groupBy("k1", "k2").agg({"rid": "min"})
+        plan = runs.unknown(batch)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == len(runs.runs()) and plan.count("Sort [") == 1 and plan.count("Exchange") == 1
+        plan = runs.merged(*runs.runs()[:2])._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 1 and "Sort [" not in plan and "Exchange" not in plan
+    assert {(r["k1"], r["k2"]): r["owner"] for r in runs.close().collect()} == kept
 
 
 # --- packing
