@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators.relational import aligned, full_using, groups_frame, grouping_mask, mark_in, qualify
 from .base import Suite
 
 SUITE = Suite()
@@ -155,3 +159,42 @@ SUITE.sql("win_groups_star", "SELECT *, count(*) OVER w AS n FROM nation WINDOW
 SUITE.sql("type_interval_compare", "SELECT n_nationkey AS k, i > INTERVAL '45 days' AS more, i = INTERVAL '1 month 2 days' AS same FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN INTERVAL '1 month 2 days' ELSE INTERVAL '2 months 1 hour' END AS i FROM nation)")
 SUITE.sql("type_interval_max", "SELECT n_regionkey AS k, max(i) = INTERVAL '2 months 1 hour' AS hi, min(i) < INTERVAL '33 days' AS lo FROM (SELECT n_regionkey, CASE WHEN n_nationkey % 3 = 0 THEN INTERVAL '1 month 2 days' ELSE INTERVAL '2 months 1 hour' END AS i FROM nation) GROUP BY n_regionkey")
 SUITE.sql("type_unsigned", "SELECT CAST(n_nationkey AS UBIGINT) + 0 AS a, CAST('18446744073709551615' AS UBIGINT) = 18446744073709551615 AS b FROM nation", "SELECT CAST(n_nationkey AS DECIMAL(38,0)) AS a, true AS b FROM nation")
+
+# --- the same operators for DataFrames
+
+
+@SUITE.df("SELECT n_nationkey AS k, n_regionkey IN (SELECT CASE WHEN r_regionkey > 1 THEN r_regionkey END FROM region) AS x FROM nation")
+def df_mark_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = spark.read.parquet(f"{sf_dir}/region.parquet").selectExpr("CASE WHEN r_regionkey > 1 THEN r_regionkey END AS v")
+    return mark_in(spark.read.parquet(f"{sf_dir}/nation.parquet"), "n_regionkey", values, "v", "x").selectExpr("n_nationkey AS k", "x")
+
+
+@SUITE.df("SELECT p_partkey, count(*) OVER (PARTITION BY p_type ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM part")
+def df_groups_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return groups_frame(parts, ["p_type"], [F.col("p_size").asc_nulls_last()], -1, 0, n=F.count("*")).select("p_partkey", "n")
+
+
+@SUITE.df("SELECT o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")
+def df_qualify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")) == 1
+    return qualify(spark.read.parquet(f"{sf_dir}/orders.parquet"), best).select("o_orderkey")
+
+
+@SUITE.df("SELECT k, a, b FROM (SELECT n_nationkey AS k, n_name AS a FROM nation) x FULL JOIN (SELECT c_custkey AS k, c_name AS b FROM customer WHERE c_custkey % 7 = 0) y USING (k)")
+def df_full_using(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_nationkey AS k", "n_name AS a")
+    right = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 7 = 0").selectExpr("c_custkey AS k", "c_name AS b")
+    return full_using(left, right, ["k"]).select("k", "a", "b")
+
+
+@SUITE.df("SELECT CAST(n_nationkey AS DOUBLE) AS v FROM nation EXCEPT SELECT s_acctbal FROM supplier")
+def df_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, two = aligned(spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_nationkey AS v"), spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_acctbal"))
+    return one.subtract(two)
+
+
+@SUITE.df("SELECT n_regionkey AS k, GROUPING(n_regionkey) * 2 + GROUPING(n_nationkey) AS m, count(*) AS n FROM nation GROUP BY ROLLUP (n_regionkey, n_nationkey)")
+def df_grouping_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rolled = spark.read.parquet(f"{sf_dir}/nation.parquet").rollup("n_regionkey", "n_nationkey")
+    return rolled.agg(grouping_mask("n_regionkey", "n_nationkey").alias("m"), F.count("*").alias("n")).selectExpr("n_regionkey AS k", "m", "n")
