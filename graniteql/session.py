@@ -51,6 +51,18 @@ def tuned(spark: SparkSession) -> SparkSession:
     return own
 
 
+def unchanged(spark: SparkSession, files: dict[str, list[File]]) -> None:
+    """The files that a statement was planned over must still be those (by path, size and time)."""
+    for location, before in files.items():
+        try:
+            now = list_files(spark, location)
+        except SourceError:
+            now = []
+        known = {f.path: f for f in now}
+        if any(known.get(f.path) != f for f in before):
+            raise SourceError(f"files at {location} changed while the query ran")
+
+
 class Result:
     """Rows of a statement: lazy, pulled in batches, and cancellable."""
 
@@ -70,18 +82,7 @@ class Result:
             self.rows += 1
             yield row
         self.seconds = time.time() - t
-        self._check_files()
-
-    def _check_files(self) -> None:
-        """The files that the statement was planned over must still be those (by path, size and time)."""
-        for location, before in self.files.items():
-            try:
-                now = list_files(self.df.sparkSession, location)
-            except SourceError:
-                now = []
-            known = {f.path: f for f in now}
-            if any(known.get(f.path) != f for f in before):
-                raise SourceError(f"files at {location} changed while the query ran")
+        unchanged(self.df.sparkSession, self.files)
 
     def fetchall(self) -> list[tuple]:
         return [tuple(r) for r in self]
@@ -445,9 +446,13 @@ class Session:
         if self.transaction is not None and self.transaction.open:
             if self.transaction.read_only:
                 raise StoreError("the transaction is read only")
-            return f(self.transaction.tables)
+            out = f(self.transaction.tables)
+            unchanged(self.spark, self.files)
+            return out
         with self.engine._store().begin() as t:
-            return f(t.tables)
+            out = f(t.tables)
+            unchanged(self.spark, self.files)  # else nothing is committed
+            return out
 
     def _names(self) -> list[tuple[str, str, str]]:
         out = [("main", n, "VIEW") for n in self.views] + [("main", n, "EXTERNAL") for n in self.engine.registered]
@@ -627,7 +632,7 @@ class Session:
 
     def _do_copy_to(self, c, params) -> DataFrame:
         df = self.spark.sql(self._emitter(params).query(c.q)) if c.q is not None else self._relation(c.path)
-        return self._message(rows=copy_to(self.spark, df, c.location, c.options))
+        return self._message(rows=copy_to(self.spark, df, c.location, c.options, lambda: unchanged(self.spark, self.files)))
 
     def _do_copy_from(self, c, params) -> DataFrame:
         options = dict(c.options)
@@ -636,6 +641,7 @@ class Session:
             raise SqlError("COPY FROM takes no NULL option")
 
         def load(tables: Tables) -> DataFrame:
+            self.files[c.location] = list_files(self.spark, c.location)
             if kind == "parquet":
                 rows = read_parquet(self.spark, c.location)
             else:

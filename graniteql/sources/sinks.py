@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import date, datetime, time, timedelta
 from decimal import Decimal
 from typing import Any
@@ -17,8 +17,9 @@ from .files import SourceError, check_location, list_files, move, remove
 _COPY = {"format", "delimiter", "header", "quote", "escape", "null", "encoding", "single"}
 
 
-def copy_to(spark: SparkSession, df: DataFrame, location: str, options: dict[str, Any]) -> int:
-    """Writes beside the target, then renames, so a reader sees all or nothing. Returns the rows.
+def copy_to(spark: SparkSession, df: DataFrame, location: str, options: dict[str, Any], check: Callable[[], None] = lambda: None) -> int:
+    """Writes beside the target, then renames, so a reader sees all or nothing. Returns the rows. check: called before
+    the renaming; what it raises leaves the target as it was.
 
     One file by default, as the dialect says; with ``single false`` a folder of files that all tasks write.
     """
@@ -51,6 +52,7 @@ def copy_to(spark: SparkSession, df: DataFrame, location: str, options: dict[str
             )
         else:
             raise SourceError(f"COPY writes csv and parquet, not {kind}")
+        check()
         if single:
             (file,) = [f for f in list_files(spark, temporary) if f.size or kind == "csv"][:1]
             move(spark, file.path, location)

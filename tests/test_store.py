@@ -6,6 +6,7 @@ import threading
 import pytest
 
 from graniteql.session import Engine
+from graniteql.sources.files import SourceError
 from graniteql.store.manifest import Conflict, StoreError
 
 
@@ -181,3 +182,69 @@ def test_ingest(engine, spark, tmp_path):
         spark.range(n).write.mode("append").parquet(source)
         ingest(engine, source, "s", f"{tmp_path}/ck").awaitTermination()
     assert rows(engine, "SELECT count(*) FROM s") == [("7",)]
+
+
+def test_vacuum_and_open_transactions(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/s")
+    one = engine.session()
+    one.execute("CREATE TABLE t AS SELECT 1 AS a")
+    one.execute("BEGIN")
+    one.execute("INSERT INTO t VALUES (2)")
+    with pytest.raises(StoreError):
+        one.execute("VACUUM")
+    assert engine.execute("VACUUM").fetchall() == [("ok", 0)]
+    one.execute("COMMIT")
+    assert sorted(engine.execute("SELECT a FROM t").fetchall()) == [(1,), (2,)]
+    with engine.store.begin() as t:
+        lost = engine.session()
+        t.tables.insert(["t"], spark.sql("SELECT CAST(3 AS BIGINT)"))
+        import shutil
+
+        shutil.rmtree(f"{tmp_path}/s/data/{t.tables.table(['t'])['segments'][-1]['path']}")
+        with pytest.raises(StoreError):
+            t.commit()
+    assert sorted(lost.execute("SELECT a FROM t").fetchall()) == [(1,), (2,)]
+    assert not [p for p in (tmp_path / "s" / "open").iterdir() if not p.name.startswith(".")]
+
+
+def test_changes_of_a_table_as_such_conflict(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/s")
+    one, two = engine.session(), engine.session()
+    one.execute("CREATE TABLE t AS SELECT 1 AS a")
+    for text in ("ALTER TABLE t ADD COLUMN b INT", "COMPACT t", "TRUNCATE t"):
+        one.execute("BEGIN")
+        one.execute("DELETE FROM t WHERE a = 1")
+        two.execute("INSERT INTO t SELECT * FROM t")
+        two.execute(text)
+        with pytest.raises(Conflict):
+            one.execute("COMMIT")
+
+
+def test_files_that_change_stop_a_load(spark, tmp_path):
+    spark.sql("SELECT 1 AS a").write.parquet(f"{tmp_path}/f")
+    engine = Engine(spark, f"file://{tmp_path}/s")
+    session = engine.session()
+    session.execute("CREATE TABLE t (a BIGINT)")
+    insert = session._change
+
+    def late(f):
+        def run(tables):
+            out = f(tables)
+            spark.sql("SELECT 2 AS a").write.mode("overwrite").parquet(f"{tmp_path}/f")
+            return out
+
+        return insert(run)
+
+    session._change = late
+    with pytest.raises(SourceError):
+        session.execute(f"INSERT INTO t SELECT a FROM read_parquet('file://{tmp_path}/f')")
+    assert engine.execute("SELECT * FROM t").fetchall() == []
+
+
+def test_batches_and_copied_rows(spark, tmp_path):
+    engine = Engine(spark)
+    (batch,) = engine.execute("SELECT 1 AS a, 'x' AS a, CAST(1.5 AS DECIMAL(5,2)) AS c").batches()
+    assert batch.schema.names == ["a", "a", "c"] and [c.to_pylist()[0] for c in batch.columns[:2]] == [1, "x"]
+    assert str(batch.schema.types[2]) == "decimal128(5, 2)"
+    for name in ("x.csv", "x.parquet"):
+        assert engine.execute(f"COPY (SELECT * FROM (VALUES (1), (2), (3)) t(a)) TO 'file://{tmp_path}/{name}'").fetchall() == [("ok", 3)]
