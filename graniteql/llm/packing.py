@@ -48,8 +48,10 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-        self.keys, self.begin, self.ids, self.again = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint16), np.zeros(0, bool)
-        self.letters, self.place = np.zeros(8, np.uint8), np.zeros(1, np.int64)
+        # known words in order of hash: where their ids and letters begin, how many there are, whether a word came again
+        self.keys, self.again = np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.begin, self.count, self.place, self.size = (np.zeros(0, np.int64) for _ in range(4))
+        self.ids, self.letters = np.zeros(0, np.uint16), np.zeros(8, np.uint8)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             self.ids = self.ids.astype(np.uint32)
 
@@ -81,24 +83,26 @@ class WordTokenizer:
         return order, np.concatenate([*sizes, np.zeros(0, np.int64)]), np.concatenate([*ids, self.ids[:0]])
 
     def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
-        """New words, spans of ``data``."""
+        """New words, spans of ``data``, in order of hash."""
         raw = memoryview(data)
-        order, n_ids, ids = self.encode([str(raw[a : a + n], "utf-8", "replace") for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
-        keys, starts, sizes = keys[order], starts[order], sizes[order]
-        begin = np.concatenate([self.begin[:-1], self.begin[-1] + np.cumsum(n_ids) - n_ids])
-        place = np.concatenate([self.place[:-1], self.place[-1] + np.cumsum(sizes) - sizes])
-        letters = np.concatenate([self.letters[: self.place[-1]], data[ragged(starts, sizes)]])
-        known = (np.concatenate([self.keys, keys]), begin, np.concatenate([np.diff(self.begin), n_ids]), place, np.concatenate([np.diff(self.place), sizes]), np.concatenate([self.again, np.zeros(len(order), bool)]))
-        self._keep(np.argsort(known[0]), *known, np.concatenate([self.ids, ids]), letters)
-
-    def _keep(self, order: np.ndarray, keys: np.ndarray, begin: np.ndarray, n_ids: np.ndarray, place: np.ndarray, sizes: np.ndarray, again: np.ndarray, ids: np.ndarray, letters: np.ndarray) -> None:
-        self.keys, self.again = keys[order], again[order]
-        self.ids, self.letters = ids[ragged(begin[order], n_ids[order])], np.append(letters[ragged(place[order], sizes[order])], np.zeros(8, np.uint8))
-        self.begin, self.place = (np.concatenate([[0], np.cumsum(x[order])]) for x in (n_ids, sizes))
+        order, counts, ids = self.encode([str(raw[a : a + n], "utf-8", "replace") for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
+        begin, count = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        begin[order], count[order] = len(self.ids) + np.cumsum(counts) - counts, counts
+        place = len(self.letters) - 8 + np.cumsum(sizes) - sizes
+        at = np.searchsorted(self.keys, keys)
+        new = {"keys": keys, "begin": begin, "count": count, "place": place, "size": sizes, "again": np.zeros(len(keys), bool)}
+        for name, values in new.items():
+            setattr(self, name, np.insert(getattr(self, name), at, values))
+        self.ids = np.concatenate([self.ids, ids])
+        self.letters = np.concatenate([self.letters[:-8], data[ragged(starts, sizes)], np.zeros(8, np.uint8)])
 
     def _forget(self) -> None:
         """Words that came again stay."""
-        self._keep(np.flatnonzero(self.again), self.keys, self.begin[:-1], np.diff(self.begin), self.place[:-1], np.diff(self.place), np.zeros_like(self.again), self.ids, self.letters)
+        kept = np.flatnonzero(self.again)
+        self.keys, self.begin, self.count, self.place, self.size = (x[kept] for x in (self.keys, self.begin, self.count, self.place, self.size))
+        self.ids, self.letters = self.ids[ragged(self.begin, self.count)], np.append(self.letters[ragged(self.place, self.size)], np.zeros(8, np.uint8))
+        self.begin, self.place = np.cumsum(self.count) - self.count, np.cumsum(self.size) - self.size
+        self.again = np.zeros(len(kept), bool)
 
     def tokens(self, text: K.Text, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all the texts in a row, each with ``end`` after it, and where each text begins."""
@@ -115,7 +119,7 @@ class WordTokenizer:
         self.again[spot[hit]] = True
         old = where[hit]
         right = np.ones(len(keys), bool)
-        right[hit] = K.same_spans(data, text.starts[old], sizes[old], self.letters, self.place[spot[hit]], np.diff(self.place)[spot[hit]])
+        right[hit] = K.same_spans(data, text.starts[old], sizes[old], self.letters, self.place[spot[hit]], self.size[spot[hit]])
         alone |= ~right[inverse]
         new = ~hit & (sizes[where] <= _LONG)
         if new.any():
@@ -123,7 +127,7 @@ class WordTokenizer:
         begin, n_ids, ids = np.zeros(len(inverse), np.int64), np.zeros(len(inverse), np.int64), self.ids
         if len(self.keys):
             spot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            begin, n_ids = self.begin[:-1][spot][inverse], np.diff(self.begin)[spot][inverse]
+            begin, n_ids = self.begin[spot][inverse], self.count[spot][inverse]
         if alone.any():
             odd = np.flatnonzero(alone)
             raw = memoryview(data)
@@ -149,7 +153,7 @@ def tokenised(docs: DataFrame, path: str, end: int, id_col: str = "doc_id") -> D
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, part, at = WordTokenizer.open(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for a, b, text in K.Text.of(batch.column(1), 2 * K.CHUNK_BYTES):
+            for a, b, text in K.Text.of(batch.column(1)):
                 ids, bounds = tokenizer.tokens(text, end)
                 width = ids.dtype.itemsize
                 offsets = pa.py_buffer((bounds * width).astype(np.int64).tobytes())
