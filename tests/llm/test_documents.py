@@ -427,6 +427,33 @@ def test_katz_asks_a_row_a_block_and_partition(spark):
     assert all(n <= blocks * model.n_parts for blocks, n in made.items()) and len(made) == 3
 
 
+def test_katz_answers_move_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        model = katz.KatzModel(spark, frame(spark, documents(5, 60)))
+        for df in (model.asks(), model.scores()):  # blocks and answers meet where they lie
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+            assert df.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_katz_scores_leave_no_hashes_on_disk(spark):
+    import random
+    from pathlib import Path
+
+    from graniteql.llm import scratch
+
+    rng, shared = random.Random(3), Path(scratch.shared_folder(spark).removeprefix("file://"))
+    rows = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(1000)), "en", "s", 1) for i in range(100)]
+    there = set(shared.glob("katz-*"))
+    scores = katz.score_documents(spark, frame(spark, rows))
+    (made,) = set(shared.glob("katz-*")) - there
+    used = sum(f.stat().st_size for f in made.rglob("*.parquet"))
+    assert used < 16 * 100_000  # bytes a word; its hash in a block and one in the table of words are 16
+    assert scores.count() == 100
+
+
 def test_katz_hard(spark):
     rows = hard()
     found = katz.score_documents(spark, frame(spark, rows)).collect()
