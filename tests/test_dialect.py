@@ -1,13 +1,14 @@
 """What the dialect accepts, rejects, types and raises."""
 
 import datetime
+import re
 from decimal import Decimal
 
 import pytest
 
 from graniteql.functions.scalar import interval_parts
 from graniteql.session import Engine
-from graniteql.sql import commands
+from graniteql.sql import commands, emit
 from graniteql.sql.emit import Emitter
 from graniteql.sql.parser import SqlError, parse_query
 
@@ -151,3 +152,40 @@ def test_leaves_of_a_join(leaves, monkeypatch, text, parted):
     monkeypatch.setattr(Emitter, "by_leaves", lambda *_: None)
     plain = leaves.execute(text).df
     assert df.dtypes == plain.dtypes and sorted(df.collect(), key=repr) == sorted(plain.collect(), key=repr)
+
+
+@pytest.mark.parametrize(
+    ("text", "joined"),
+    [
+        ("SELECT k, v, count(*) OVER () AS n, min(v) OVER (PARTITION BY u) AS lo, sum(v) OVER (PARTITION BY u, k) AS s FROM a", 3),
+        ("SELECT v, max(v) OVER (PARTITION BY k ORDER BY v) AS m, count(u) OVER (PARTITION BY k) AS n, avg(v) OVER w AS a FROM a WINDOW w AS (PARTITION BY u)", 1),
+        ("SELECT *, sum(u) OVER (PARTITION BY k ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) / count(*) OVER () AS share FROM a t ORDER BY v + 1 DESC, u LIMIT 20", 2),
+        ("SELECT k AS g, count(*) AS n, sum(count(*)) OVER () AS whole, max(max(v)) OVER (PARTITION BY k % 2) AS top FROM a GROUP BY k HAVING count(*) > 0 QUALIFY whole > 1", 2),
+        ("SELECT DISTINCT g, max(v) OVER (PARTITION BY g, 1) AS m FROM hub h LEFT JOIN a ON h.k = a.k WHERE w > 0 QUALIFY count(*) OVER (PARTITION BY g) > 0", 1),
+        ("SELECT k, count(*) OVER (PARTITION BY k ORDER BY u GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n, max(v) OVER () AS m FROM a", 1),
+        ("SELECT g, (SELECT max(n) FROM (SELECT count(*) OVER (PARTITION BY u) AS n FROM a) t) AS n FROM hub", 1),
+        ("SELECT k, max(u) OVER (PARTITION BY k) AS m FROM a WHERE k < 0", 1),
+        ("SELECT v, sum(v) OVER (ORDER BY v) AS s, row_number() OVER (ORDER BY v, u) AS r FROM b", 0),
+        ("SELECT k, n, sum(n) OVER () AS s FROM (SELECT k, count(*) AS n FROM a GROUP BY 1) t", 1),
+        ("SELECT k, count(*) AS n, sum(count(*)) OVER () AS s FROM a GROUP BY 1", 0),
+        ("SELECT k, s, max(s) OVER () AS m FROM (SELECT k, sum(v / 3) AS s FROM a GROUP BY k) t", 0),
+        ("SELECT count(*) OVER () AS n FROM (SELECT * FROM a LIMIT 5) t", 0),
+    ],
+)
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_whole_partitions(leaves, monkeypatch, text, joined, hot):
+    """Aggregates over whole partitions are joined, so that no task holds a partition's rows; the rows stay the same."""
+    monkeypatch.setattr(emit, "HOT_KEYS", hot)
+    sql, df = leaves.translate(text), leaves.execute(text).df
+    assert len(set(re.findall(r"AS (__whole\d+) ", sql.replace(")", " ")))) == joined
+    monkeypatch.setattr(Emitter, "whole_windows", lambda *_: set())
+    plain = leaves.execute(text).df
+    assert df.dtypes == plain.dtypes and sorted(df.collect(), key=repr) == sorted(plain.collect(), key=repr)
+
+
+def test_whole_partitions_without_windows(leaves):
+    """No task gets all rows, or all of a key."""
+    plan = leaves.execute("SELECT v, min(k) OVER () AS lo FROM a").df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    plan = leaves.execute("SELECT v, sum(v) OVER (PARTITION BY u) AS s FROM a").df._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Window \[.*\n(.*Project.*\n)*.*Join LeftAnti", plan) and plan.count("Window [") == 1
